@@ -103,7 +103,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # round one: stars from the smallest id of each bucket
     first = stage.table(member.where("id <> c").select("c", F.col("id").alias("m")).distinct())
     wanted = first.select(F.col("c").alias("id")).union(first.select(F.col("m").alias("id"))).distinct()
-    texts1 = texts.join(wanted, "id", "left_semi")
+    # always a merge join: the ids grow with the documents, so a broadcast that holds at one size fails at the next
+    texts1 = texts.join(wanted.hint("merge"), "id", "left_semi")
     sets = stage.table(texts1.mapInArrow(lambda it: _sets(k, it), "id long, shingles array<long>"))
 
     def confirmed(edges: DataFrame) -> DataFrame:
