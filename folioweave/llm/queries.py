@@ -5,20 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_itq": op2_itq,
     "op3_minhash": op3_minhash,
+    "op6_nearest": op6_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
