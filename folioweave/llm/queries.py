@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A demonstration key; production passes its own secret.
+PII_KEY = "folioweave-demo-key"
+
+
+def op1_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .feistel import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY, count_col="n_replaced").withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .itq import near_vectors
 
@@ -30,10 +40,18 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel": op1_feistel,
     "op2_itq": op2_itq,
     "op3_minhash": op3_minhash,
     "op6_nearest": op6_nearest,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
