@@ -34,6 +34,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def _remainder(of: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, toxicity
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(_remainder(3) != 1), lang_col="lang")
+    return toxicity(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import top_inner_products
 
@@ -46,12 +58,22 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, learn
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs.where(_remainder(5) != 0), order=F.xxhash64("doc_id"))
+    return identify(docs, model, keep=["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel": op1_feistel,
     "op2_itq": op2_itq,
     "op3_minhash": op3_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
     "op8_packing": op8_packing,
+    "op9_langid": op9_langid,
 }
 
 ORACLE_SQL: dict[str, str] = {}

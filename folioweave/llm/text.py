@@ -109,3 +109,53 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.nd
             yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         else:
             yield runs_of(words[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+
+
+class HashStore:
+    """Numbers distinct 64-bit keys in the order they come: a worker's memory of words it has handled.
+
+    A large sorted run and a small recent one (merged as it grows), so that adding a few keys doesn't copy all.
+    """
+
+    def __init__(self):
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for a new one."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, number in self.runs:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers for new distinct sorted keys."""
+        number = np.arange(self.size, self.size + len(keys))
+        self.size += len(keys)
+        known, old = self.runs[1]
+        at = np.searchsorted(known, keys)
+        self.runs[1] = (np.insert(known, at, keys), np.insert(old, at, number))
+        if len(self.runs[1][0]) > 20_000 + len(self.runs[0][0]) // 8:
+            (a, x), (b, y) = self.runs
+            at = np.searchsorted(a, b)
+            self.runs = [(np.insert(a, at, b), np.insert(x, at, y)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+        return number
+
+
+class Growing:
+    """A numpy array that grows at its end by doubling."""
+
+    def __init__(self, dtype, *shape: int):
+        self.array, self.size = np.empty((1024, *shape), dtype), 0
+
+    def extend(self, rows: np.ndarray) -> None:
+        need = self.size + len(rows)
+        if need > len(self.array):
+            bigger = np.empty((max(need, 2 * len(self.array)), *self.array.shape[1:]), self.array.dtype)
+            bigger[: self.size] = self.array[: self.size]
+            self.array = bigger
+        self.array[self.size : need] = rows
+        self.size = need
