@@ -1,11 +1,63 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), reads whole texts, and returns a DataFrame; all but the last return the columns
+of documents. ``run`` writes each result as Parquet in the shared folder and reads it again for the next stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioweave.llm import feistel, langid, minhash, mixing, packing, queries
+from folioweave.llm.shared import Stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """lang becomes the predicted language; documents without one (no letter) go. The network learns from the labelled rows."""
+    model = langid.learn(docs, order=F.xxhash64("doc_id"))
+    found = langid.identify(docs.select(*COLUMNS, F.col("text").alias("read")), model, text_col="read").where("lang_pred <> 'und'")
+    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates (five-word shingles, similarity of 0.8 or more) the document of smallest id stays."""
+    marked = minhash.near_duplicates(docs, k=5, percent=80)
+    gone = marked.where(~F.col("kept")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return feistel.pseudonymise(docs, queries.PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, by sources, languages and topics at tempered shares."""
+    margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    return mixing.mix(docs, margins, fraction=0.8).where("mix_kept").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("PII", pseudonymise),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack),
+]
+
+#: No SQL: the stages learn, hash and pack; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = Stage(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for _, step in STAGES:
+        docs = stage.table(step(spark, docs, sf_dir))
     return docs
