@@ -34,6 +34,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), width=50, give_text=False)
+
+
 def _remainder(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
@@ -66,14 +72,24 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, keep=["doc_id"]).select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, topic_of
+
+    docs = _table(spark, sf_dir, "documents")
+    mixed = mix(docs, {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col("text"))}, fraction=0.8)
+    return mixed.select("doc_id", *(c for c in mixed.columns if c.startswith("mix_")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel": op1_feistel,
     "op2_itq": op2_itq,
     "op3_minhash": op3_minhash,
+    "op4_substring": op4_substring,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
