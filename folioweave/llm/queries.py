@@ -58,6 +58,12 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_pitmanyor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitmanyor import score
+
+    return score(_table(spark, sf_dir, "documents"), _remainder(5) == 1)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring": op4_substring,
     "op5_toxicity": op5_toxicity,
     "op6_nearest": op6_nearest,
+    "op7_pitmanyor": op7_pitmanyor,
     "op8_packing": op8_packing,
     "op9_langid": op9_langid,
     "op10_mixing": op10_mixing,

@@ -42,11 +42,18 @@ class Stage:
         df.write.option("compression", "zstd" if compression == "zstd" else "snappy").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_table(self, table: DataFrame) -> None:
+        """Delete the files of a table of this run that nothing reads any more."""
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            self._delete(path)
+
     def drop(self) -> None:
         """Delete all tables of this run (results read from them become unusable)."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self._delete(self.path)
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
