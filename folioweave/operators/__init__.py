@@ -1 +1 @@
-
+"""Operators over the section graph; each takes and returns DataFrames."""

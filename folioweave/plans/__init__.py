@@ -1 +1 @@
-
+"""Derived graphs over the tables, and the registered queries."""

@@ -1 +1 @@
-
+"""Incremental ingest of Markdown folders (an extension)."""
