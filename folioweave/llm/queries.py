@@ -99,4 +99,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+LINKED = """
+closure(id, root) AS (SELECT id, id FROM ids UNION SELECT e.b, c.root FROM closure c JOIN edges e ON e.a = c.id),
+component AS (SELECT id, min(root) AS component_id FROM closure GROUP BY id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_itq": f"""WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+u AS (SELECT id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+edges AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND list_inner_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+ids AS (SELECT vec_id AS id FROM embeddings), {LINKED}
+SELECT id AS vec_id, (SELECT count(*) FROM edges WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM component""",
+    "op3_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM w),
+h AS MATERIALIZED (SELECT id, unnest(s) AS x, len(s) AS n FROM s),
+edges AS MATERIALIZED (SELECT p.id AS a, q.id AS b FROM h p JOIN h q ON p.x = q.x AND p.id <> q.id AND 100 * p.n >= 80 * q.n AND 100 * q.n >= 80 * p.n
+  GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
+ids AS (SELECT doc_id AS id FROM documents), {LINKED}
+SELECT id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, id = component_id AS kept FROM component JOIN s USING (id)""",
+    "op4_substring": r"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], chr(1))) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+low AS (SELECT h, min(doc_id) AS low FROM win GROUP BY h),
+bad AS (SELECT doc_id, i FROM win JOIN low USING (h) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM bad),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_nearest": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+p AS (SELECT q.id AS query_id, c.id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.id <> c.id AND q.id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY rank <= 20""",
+}

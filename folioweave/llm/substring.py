@@ -6,9 +6,12 @@ document with a smaller id is removed; windows are judged on the input.
 Windows are grouped into segments: the longest runs of windows that share their anchor, the smallest hash among the
 GRAM-word runs inside (a minimiser). Equal windows have equal anchors, so only anchors in two documents or more
 matter, and rows shrink to one for about twenty words. A segment whose whole content also stands in an earlier document is settled
-at once. What is left (segments at the edges of a passage or around a changed word) is settled window by window.
-All grouping is by minimum with map-side combine and by equi-joins that AQE can split: a passage
-in a third of all documents is no hot task.
+at once. What is left (segments at the edges of a passage or around a changed word) is dealt by anchor into shards of about
+SHARD segments. Each shard has a compressed FM-index: backward search over its wavelet tree gives the matching statistics of
+the segments streamed through it, and runs of windows whose match reaches the width and has a smaller document in its interval are
+reported. An anchor with more than HOT segments left would make a shard without bound; its windows are compared one by one by their
+hashes instead, with the same result. All other grouping is by minimum with map-side combine and by equi-joins that AQE can
+split: a passage in a third of all documents is no hot task.
 
 Defined results: null, empty or blank text and text shorter than a window lose nothing; a passage repeated inside one
 document only stays; rows that share an id are one document for the comparison; rows with a null id are neither
@@ -22,13 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .fmindex import FMIndex
 from .shared import Stage
 from .text import Words, chunks, mix, powers, runs_of
 
-GRAM = 10
+GRAM, SHARD, HOT = 10, 1024, 4096
+#: Bytes of a word's hash that travel to the shards.
+WIDE = 6
 
 
 def prefix_hashes(words: np.ndarray) -> np.ndarray:
@@ -96,23 +103,72 @@ def _spread(lists: pa.Array, field: str) -> np.ndarray:
     return lists.flatten().field(field).to_numpy()
 
 
-def _windows(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each window of the listed segments."""
+def _left_over(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each listed segment, or, where its anchor is hot, the hash of each window."""
     for batch in batches:
         asked = batch.column(3)
         for lo, hi, buf, off in chunks(batch.column(1)):
             w = Words(buf, off)
-            prefix = prefix_hashes(w.hashes())
+            words = w.hashes()
             mine = asked.slice(lo, hi - lo)
             of = np.repeat(np.arange(hi - lo), np.asarray(mine.value_lengths()))
             at, n = _spread(mine, "at").astype(np.int64), _spread(mine, "n").astype(np.int64)
-            upto = np.concatenate(([0], np.cumsum(n)))
-            step = np.arange(upto[-1]) - np.repeat(upto[:-1], n)
-            place = np.repeat(at, n) + step
-            start = np.repeat(w.first[of], n) + place
-            key = hash_of_runs(prefix, start, start + width)
-            ids, marks = (batch.column(c).slice(lo, hi - lo).take(pa.array(np.repeat(of, n))) for c in (0, 2))
-            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(place.astype(np.int32)), pa.array(key.view(np.int64))], ["id", "mark", "at", "window"])
+            anchor, hot = _spread(mine, "anchor"), np.asarray(mine.flatten().field("hot").to_numpy(zero_copy_only=False), bool)
+            start = w.first[of] + at
+            raw = words.view(np.uint8).reshape(-1, 8)[:, :WIDE].tobytes()
+            cold = np.flatnonzero(~hot)
+            texts = [raw[a * WIDE : b * WIDE] for a, b in zip(start[cold].tolist(), (start[cold] + n[cold] + width - 1).tolist())]
+            # hot ones window by window
+            of_hot, n_hot = of[hot], n[hot]
+            upto = np.concatenate(([0], np.cumsum(n_hot)))
+            step = np.arange(upto[-1]) - np.repeat(upto[:-1], n_hot)
+            first = np.repeat(start[hot], n_hot) + step
+            window = hash_of_runs(prefix_hashes(words), first, first + width) if len(first) else np.zeros(0, np.uint64)
+            row = np.concatenate((of[cold], np.repeat(of_hot, n_hot)))
+            ids, marks = (batch.column(c).slice(lo, hi - lo).take(pa.array(row)) for c in (0, 2))
+            blank = len(first)
+            yield pa.RecordBatch.from_arrays(
+                [ids, marks, pa.array(np.concatenate((at[cold], np.repeat(at[hot], n_hot) + step)).astype(np.int32)),
+                 pa.concat_arrays([pa.array(anchor[cold], pa.int64()), pa.nulls(blank, pa.int64())]),
+                 pa.concat_arrays([pa.array(texts, pa.binary()), pa.nulls(blank, pa.binary())]),
+                 pa.concat_arrays([pa.nulls(len(cold), pa.int64()), pa.array(window.view(np.int64))])],
+                ["id", "mark", "at", "anchor", "words", "window"],
+            )
+
+
+def search_shard(width: int, group: pa.Table) -> pa.Table:
+    """(id, mark, at, n): the runs of windows of the shard's segments that start in a document of smaller id too."""
+    group = group.combine_chunks()
+    words = group.column("words").combine_chunks()
+    size = np.asarray(pc.binary_length(words)).astype(np.int64) // WIDE
+    raw = np.frombuffer(b"".join(words.to_pylist()), np.uint8).reshape(-1, WIDE)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, :WIDE] = raw
+    # symbol 0 parts the segments
+    _, symbol = np.unique(full.view(np.uint64).ravel(), return_inverse=True)
+    end = np.cumsum(size + 1) - 1
+    text = np.zeros(int((size + 1).sum()), np.int64)
+    place = np.ones(len(text), bool)
+    place[end] = False
+    text[place] = symbol + 1
+    ids = group.column("id").to_numpy()
+    segment = np.repeat(np.arange(len(size)), size + 1)
+    index = FMIndex(text, ids[segment], width)
+    first = end - size
+    n = size - width + 1
+    upto = np.concatenate(([0], np.cumsum(n)))
+    of = np.repeat(np.arange(len(n)), n)
+    step = np.arange(upto[-1]) - upto[of]
+    length, lo, hi = index.matching(text, first[of] + step + width, width)
+    rows = np.flatnonzero(length == width)
+    rows = rows[index.smallest_owner(lo[rows], hi[rows]) < ids[of[rows]]]
+    new = np.ones(len(rows), bool)
+    new[1:] = (np.diff(rows) != 1) | (of[rows[1:]] != of[rows[:-1]])
+    head = np.flatnonzero(new)
+    runs = np.diff(np.append(head, len(rows)))
+    at = group.column("at").to_numpy()[of[rows[head]]] + step[rows[head]]
+    pick = pa.array(of[rows[head]])
+    return pa.table({"id": group.column("id").take(pick), "mark": group.column("mark").take(pick), "at": pa.array(at.astype(np.int32)), "n": pa.array(runs.astype(np.int32))})
 
 
 def cut_words(w: Words, of: np.ndarray, at: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
@@ -169,7 +225,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.withColumn("mark", F.xxhash64("text"))
 
 
-def repeated_windows(texts: DataFrame, stage: Stage, width: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, stage: Stage, width: int, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, mark, gone: array<struct<at, n>>): for each text with repeated windows, runs of n of them from window ``at`` on."""
     texts = texts.where("id is not null and text is not null")
     rows = stage.table(texts.mapInArrow(lambda it: _segments(width, it), "id long, mark long, at int, n int, anchor long, segment long"))
@@ -177,21 +233,28 @@ def repeated_windows(texts: DataFrame, stage: Stage, width: int) -> DataFrame:
     shared = shared.where("first < last").select("anchor", (F.col("s0") != F.col("s1")).alias("differ"))
     rows = stage.table(rows.join(shared, "anchor"))
     earliest = rows.groupBy("segment").agg(F.min("id").alias("earliest"))
-    rows = stage.table(rows.join(earliest, "segment").select("id", "mark", "at", "n", "differ", "earliest"))
+    rows = stage.table(rows.join(earliest, "segment").select("id", "mark", "at", "n", "anchor", "differ", "earliest"))
     whole = rows.where("earliest < id").select("id", "mark", "at", "n")
-    asked = rows.where("differ and earliest = id").groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("asked"))
+    left = rows.where("differ and earliest = id").select("id", "mark", "at", "n", "anchor")
+    sizes = stage.table(left.groupBy("anchor").agg((F.count("*") > hot).alias("hot"), F.count("*").alias("size")))
+    segments_left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    asked = left.join(sizes.select("anchor", "hot").hint("merge"), "anchor").groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n", "anchor", "hot")).alias("asked"))
     # always a merge join: what is asked for grows with the documents
-    windows = texts.join(asked.hint("merge"), ["id", "mark"]).select("id", "text", "mark", "asked")
-    windows = stage.table(windows.mapInArrow(lambda it: _windows(width, it), "id long, mark long, at int, window long"))
+    found = texts.join(asked.hint("merge"), ["id", "mark"]).select("id", "text", "mark", "asked")
+    found = stage.table(found.mapInArrow(lambda it: _left_over(width, it), "id long, mark long, at int, anchor long, words binary, window long"))
+    windows = found.where("window is not null")
     before = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     single = windows.join(before, "window").where("first < id").select("id", "mark", "at", F.lit(1).alias("n"))
-    return stage.table(whole.union(single).groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("gone")))
+    shards = max(1, -(-segments_left // shard))
+    dealt = found.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    matched = dealt.select("shard", "id", "mark", "at", "words").groupBy("shard").applyInArrow(lambda t: search_shard(width, t), "id long, mark long, at int, n int")
+    return stage.table(whole.union(single).union(matched).groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("gone")))
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", give_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", give_text: bool = True, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id_col, n_words, n_removed, kept_sha256[, kept_text]) for each row of docs."""
     texts = _texts(docs, id_col, text_col)
-    gone = repeated_windows(texts, Stage(docs.sparkSession, "substring"), width)
+    gone = repeated_windows(texts, Stage(docs.sparkSession, "substring"), width, shard, hot)
     shape = "id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if give_text else "")
     out = texts.join(gone.hint("merge"), ["id", "mark"], "left").select("id", "text", "mark", "gone")
     return out.mapInArrow(lambda it: _cut(width, give_text, it), shape).withColumnRenamed("id", id_col)
