@@ -63,7 +63,7 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Search for patterns of at most ``longest`` symbols in a text of symbols; ``owner`` is a number for each place of the text."""
+    """Search for patterns of at most ``longest`` positive symbols in a text that ends in 0; ``owner`` is a number for each place of the text."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, longest: int):
         order = suffix_array(text, longest + 1)

@@ -319,7 +319,7 @@ def _lookup(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             hit = heavy[at] == key if len(heavy) else np.zeros(len(key), bool)
             own, k, m = at[hit], text[hit], n[hit]
             rare = np.bincount(text[~hit], minlength=hi - lo)
-            sums = [np.bincount(k, v[own] * m, hi - lo) for v in (p, base, seen)]
+            sums = [np.bincount(k, v[own] * m, hi - lo).astype(float) for v in (p, base, seen)]
             out = [*(c.slice(lo, hi - lo) for c in rest), pa.array(np.diff(first).astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.rint(sums[2]).astype(np.int64)), _lists(rare, key[~hit].view(np.int64)), _lists(rare, n[~hit])]
             yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[1:], "n_tokens", "p", "base", "seen", "keys", "times"])
 
