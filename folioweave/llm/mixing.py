@@ -5,7 +5,8 @@ margin in turn is scaled to its target shares until all agree. One factor then t
 probabilities, min(1, factor * weight), such that the expected tokens are ``fraction`` of all. A document is kept if a
 hash of its id falls below its cell's probability, so a sample is reproducible and growing ``fraction`` only adds documents.
 
-Up to CELLS cells are raked in numpy on the driver; more are raked by the same steps as Spark aggregations, with the same result.
+Up to CELLS cells of CELL_BYTES in all are raked in numpy on the driver and broadcast to the documents; more are raked by the same
+steps as Spark aggregations and joined by Spark's choice, with the same result.
 
 Targets are shares by value; without one a margin aims at its actual shares to the power ``temper`` (0.5: between natural and
 uniform). Values without a target (share 0) are left out; targets without documents are ignored and the rest
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import Stage
 
-CELLS = 200_000
+CELLS, CELL_BYTES = 200_000, 32 << 20
 TOLERANCE, ROUNDS = 1e-10, 500
 WORD = r"[^\x20\x09-\x0D]+"
 #: Topics by the first pattern found in a text, where no topic column is given.
@@ -157,7 +158,9 @@ def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict | N
     tagged = docs.select("*", *(margins[n].cast("string").alias(f"mix_{n}") for n in names), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("mix_tokens"))
     cells = tagged.groupBy(*(F.col(f"mix_{n}").alias(f"m{i}") for i, n in enumerate(names))).agg(F.sum("mix_tokens").alias("tokens"))
     cells = stage.table(cells)
-    if cells.count() <= cells_on_driver:
+    n, size = cells.agg(F.count("*"), F.coalesce(F.sum(F.length(F.concat_ws("", *(c for c in cells.columns if c != "tokens")))), F.lit(0))).first()
+    small = n <= cells_on_driver and size <= CELL_BYTES
+    if small:
         cells = _on_driver(cells, len(names), aims, temper, fraction)
     else:
         cells = stage.table(_in_spark(cells, len(names), aims, temper, fraction, stage))
@@ -165,8 +168,7 @@ def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict | N
     same = F.lit(True)
     for i, n in enumerate(names):
         same = same & F.col(f"mix_{n}").eqNullSafe(F.col(f"mix_m{i}"))
-    # an inner equi-join on the cell: Spark broadcasts the cells only below its own size limit
-    out = tagged.join(cells, same).drop(*(f"mix_m{i}" for i in range(len(names))))
+    out = tagged.join(F.broadcast(cells) if small else cells, same).drop(*(f"mix_m{i}" for i in range(len(names))))
     place = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), F.col(text_col))).otherwise(F.xxhash64(F.lit(seed), F.col(id_col)))
     u = F.pmod(place, F.lit(1 << 52)).cast("double") / float(1 << 52)
     return out.withColumn("mix_kept", u < F.col("mix_probability"))
