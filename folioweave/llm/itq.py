@@ -69,9 +69,12 @@ def _rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = m / np.sqrt((m * m).sum(1))[:, None]
         keys = table_keys(unit, rotations, key_bits, tables)
         pick = pa.array(rows)
+        with np.errstate(over="ignore"):
+            narrow = m.astype(np.float32)
+        exact = (narrow == m).all(1)  # float32 input travels as float32
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(pick), batch.column("n").take(pick),
-             pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()),
+             pa.array([(f if e else x).tobytes() for f, x, e in zip(narrow, m, exact)], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()),
              pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(keys.ravel()))],
             ["id", "n", "vector", "codes", "keys"],
         )
@@ -102,7 +105,7 @@ def _link_bucket(table: int, threshold: float, ids, n, m, keys, left: np.ndarray
     return ids[has], count[has].astype(np.int64), root[has]
 
 
-def _buckets(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _buckets(threshold: float, dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket; a bucket may span batches."""
     held: list[pa.RecordBatch] = []
 
@@ -114,7 +117,8 @@ def _buckets(threshold: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         for c in ("t", "key", "i", "j"):
             change[1:] |= num[c][1:] != num[c][:-1]
         at = np.append(np.flatnonzero(change), t.num_rows)
-        vec = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(t.num_rows, -1)
+        raw = t.column("vector").to_pylist()
+        vec = np.array([np.frombuffer(x, np.float64 if len(x) == 8 * dim else np.float32) for x in raw], np.float64)
         keys = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(t.num_rows, -1)
         got = []
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
@@ -181,7 +185,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         keyed = keyed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
         tiles = keyed.select("t", "key", "i", "j", "part", "id", "n", "vector", "codes").repartition(F.col("t"), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("t", "key", "i", "j")
-        some = stage.table(tiles.mapInArrow(lambda it: _buckets(threshold, it), "id long, links long, root long"))
+        some = stage.table(tiles.mapInArrow(lambda it, d=dim: _buckets(threshold, d, it), "id long, links long, root long"))
         found = some if found is None else found.union(some)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")
