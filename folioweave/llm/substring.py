@@ -231,9 +231,10 @@ def repeated_windows(texts: DataFrame, stage: Stage, width: int, shard: int = SH
     rows = stage.table(texts.mapInArrow(lambda it: _segments(width, it), "id long, mark long, at int, n int, anchor long, segment long"))
     shared = rows.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min("segment").alias("s0"), F.max("segment").alias("s1"))
     shared = shared.where("first < last").select("anchor", (F.col("s0") != F.col("s1")).alias("differ"))
-    rows = stage.table(rows.join(shared, "anchor"))
-    earliest = rows.groupBy("segment").agg(F.min("id").alias("earliest"))
-    rows = stage.table(rows.join(earliest, "segment").select("id", "mark", "at", "n", "anchor", "differ", "earliest"))
+    # joined as a table of its own: beside an aggregate in the same stage a hot anchor could not be split
+    rows = stage.table(rows.join(stage.table(shared).hint("merge"), "anchor"))
+    earliest = stage.table(rows.groupBy("segment").agg(F.min("id").alias("earliest")))
+    rows = stage.table(rows.join(earliest.hint("merge"), "segment").select("id", "mark", "at", "n", "anchor", "differ", "earliest"))
     whole = rows.where("earliest < id").select("id", "mark", "at", "n")
     left = rows.where("differ and earliest = id").select("id", "mark", "at", "n", "anchor")
     sizes = stage.table(left.groupBy("anchor").agg((F.count("*") > hot).alias("hot"), F.count("*").alias("size")))
@@ -244,7 +245,7 @@ def repeated_windows(texts: DataFrame, stage: Stage, width: int, shard: int = SH
     found = stage.table(found.mapInArrow(lambda it: _left_over(width, it), "id long, mark long, at int, anchor long, words binary, window long"))
     windows = found.where("window is not null")
     before = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    single = windows.join(before, "window").where("first < id").select("id", "mark", "at", F.lit(1).alias("n"))
+    single = windows.join(stage.table(before).hint("merge"), "window").where("first < id").select("id", "mark", "at", F.lit(1).alias("n"))
     shards = max(1, -(-segments_left // shard))
     dealt = found.where("words is not null").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     matched = dealt.select("shard", "id", "mark", "at", "words").groupBy("shard").applyInArrow(lambda t: search_shard(width, t), "id long, mark long, at int, n int")
