@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, build
+from ..sources.store import spread
 
 SCHEMA = {
     "type": "object",
@@ -48,7 +49,7 @@ def rendered(docs: DataFrame, n: int, body: bool = True, step: int = 7, shift: i
 
 def corpus_documents(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return rendered(docs, docs.count(), **how)
+    return rendered(spread(docs), docs.count(), **how)
 
 
 def corpus_graph(spark: SparkSession, sf_dir: str, **how) -> Graph:

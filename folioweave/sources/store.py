@@ -25,3 +25,9 @@ def kept(df: DataFrame) -> DataFrame:
     at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt to all cores if its files make fewer tasks than there are cores (one small file is one task)."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
