@@ -58,6 +58,14 @@ def tile_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return q.astype(kind) @ c.astype(kind).T
 
 
+def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed from the first component to the last, so that a score does not depend on how numpy blocks the sum."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate id, score) of each query's k best candidates, found through quantised tiles."""
     heap_id = np.full((len(q), k), np.iinfo(np.int64).max)
@@ -75,7 +83,7 @@ def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
         if len(ids) > k:
             floor = np.maximum(floor, np.partition(low, len(ids) - k, 1)[:, len(ids) - k])
         row, col = np.nonzero((approx + bound >= floor[:, None]) & ~own)
-        score = np.einsum("ij,ij->i", q[row], part[col])
+        score = inner_products(q[row], part[col])
         rows = np.concatenate((np.repeat(np.arange(len(q)), k), row))
         scores = np.concatenate((heap.ravel(), score))
         all_ids = np.concatenate((heap_id.ravel(), ids[col]))
