@@ -4,8 +4,10 @@ Every document's distinct k-word shingles are hashed once; the hash's top bits p
 keeps its minimum. Empty bins borrow by optimal densification: a fixed universal probe sequence for each bin, the same for all documents,
 is followed to the first bin that has a value. Bands of ROWS bins key the buckets. A bucket gives a star of
 candidate edges, never its pairs: round one from the smallest id; round two, in buckets that still hold more than
-one component, from the members of smallest and largest keyed hash (a different pair of centres in each bucket). Edges are
-confirmed on full shingle sets, so no false link is made.
+one component, from the members of smallest and largest keyed hash (a different pair of centres in each bucket). Buckets that
+are still mixed are settled exactly: dealt into parts of about PART members, each two parts are compared member by member across
+components. There a parity sketch of each set comes first: two sketches differ in at most as many bits as the sets have
+elements that are not in both, so it rejects no true link. Edges are confirmed on full shingle sets, so no false link is made.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; texts with equal shingle sets
 are linked; several rows of one id are one vertex; a row with a null id is its own class (component null, kept).
@@ -25,6 +27,8 @@ from .shared import Stage, connected_components
 from .text import Words, chunks, mix, shingle_sets
 
 BINS, ROWS = 128, 4
+#: Members in a part of a mixed bucket; bits of the shortest and the longest sketch; numbers held at once in a comparison.
+PART, BITS, TILE = 2048, (512, 1 << 16), 1 << 21
 _shift = np.uint64(64 - BINS.bit_length() + 1)
 _edges = np.arange(BINS, dtype=np.uint64) << _shift
 _probe = np.stack([np.random.default_rng(1000 + i).permutation(BINS) for i in range(BINS)])
@@ -87,6 +91,78 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parity, for each value of the low bits, of the number of shingles that have it."""
+    bits = min(max(1 << int(2 * len(shingles) - 1).bit_length(), BITS[0]), BITS[1])
+    return np.packbits((np.bincount(shingles & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column(1)
+        flat, off = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        made = [sketch(flat[a:b]) for a, b in zip(off[:-1], off[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off).astype(np.int64)), pa.array(made, pa.binary())], ["id", "size", "sketch"])
+
+
+def close(size: np.ndarray, sketches: list[bytes], part: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of the pairs of different components that may be linked: between two parts, or within a single one."""
+    width = np.array([len(x) for x in sketches]) // 8
+    found = []
+    apart = part.min() != part.max()
+    groups = {w: (np.flatnonzero(width == w), np.frombuffer(b"".join(x for x in sketches if len(x) == 8 * w), np.uint64).reshape(-1, w)) for w in np.unique(width)}
+    for w, (a, x) in groups.items():
+        # sizes of linked sets differ by less than a factor of two at 50 percent or more, and their widths by one step
+        for v, (b, y) in groups.items():
+            if v < w or (percent > 50 and v > 2 * w):
+                continue
+            while y.shape[1] > w:  # the halves' parities add up
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            step = max(1, TILE // (len(b) * w))
+            for lo in range(0, len(a), step):
+                own = a[lo : lo + step]
+                both = size[own, None] + size[b]
+                fit = (component[own, None] != component[b]) & (100 * np.minimum(size[own, None], size[b]) >= percent * np.maximum(size[own, None], size[b]))
+                fit &= part[own, None] != part[b] if apart else np.ones(1, bool)
+                if v == w:
+                    fit &= own[:, None] < b
+                i, j = np.nonzero(fit)
+                for at in range(0, len(i), max(1, TILE // w)):
+                    p, q = i[at : at + TILE // w], j[at : at + TILE // w]
+                    differ = np.bitwise_count(x[lo + p] ^ y[q]).sum(1, dtype=np.int64)
+                    ok = differ * (100 + percent) <= both[p, q] * (100 - percent)
+                    found.append((own[p[ok]], b[q[ok]]))
+    return tuple(np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _settled(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each group of rows with equal key, i and j; rows come in that order."""
+
+    def compared(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        ids, part, component, size = (t.column(c).to_numpy() for c in ("id", "p", "k", "size"))
+        # both parts of a group may be empty but for one
+        whole = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        none = not whole and part.min() == part.max()
+        a, b = close(size, t.column("sketch").to_pylist(), part, component, percent) if not none else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["c", "m"])
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+        starts = np.flatnonzero(np.any(now[:, 1:] != now[:, :-1], 0)) + 1
+        for lo, hi in zip([0, *starts], [*starts, batch.num_rows]):
+            if held and tuple(now[:, lo]) != last:
+                yield compared(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = tuple(now[:, lo])
+    if held:
+        yield compared(held)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row of docs; links need 100 * intersection >= percent * union."""
     spark = docs.sparkSession
@@ -129,7 +205,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = more.join(mixed, "key").where("id <> o.id and k <> o.k and o.id <> c and id <> c")
     second = second.select(F.greatest("id", "o.id").alias("m"), F.least("id", "o.id").alias("c")).distinct()
     second = second.join(first, ["c", "m"], "left_anti")
-    joined = stage.table(connected_components(links.union(confirmed(second)), stage))
+    second = stage.table(second)
+    links = stage.table(links.union(confirmed(second)))
+    joined = stage.table(connected_components(links, stage))
+
+    # buckets that are mixed even now: all pairs of different components, part by part
+    more = stage.table(more.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("k")))
+    mixed = more.groupBy("key").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("n")).where("k0 <> k1")
+    mixed = mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rest = stage.table(more.join(mixed, "key"))
+    marks = sets.join(rest.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(_sketches, "id long, size long, sketch binary")
+    rest = rest.join(stage.table(marks).hint("merge"), "id").withColumn("p", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    rest = rest.select("key", "id", "k", "size", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    rest = rest.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "k", "size", "sketch")
+    third = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _settled(percent, it), "c long, m long")
+    third = third.distinct().join(first.union(second.select("c", "m")), ["c", "m"], "left_anti")
+    more_links = stage.table(confirmed(stage.table(third)))
+    if not more_links.isEmpty():
+        joined = stage.table(connected_components(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more_links), stage))
 
     of_class = classes.withColumnRenamed("id", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     of_class = of_class.select("print", F.coalesce("component_id", "rep").alias("component_id"))

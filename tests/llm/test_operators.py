@@ -147,6 +147,39 @@ def test_minhash_equals_brute_force(spark, k):
     assert len(same) == 3 and all(r["kept"] for r in same)
 
 
+def test_minhash_links_many_edited_copies_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART", 300)
+    rng = np.random.default_rng(3)
+    original = [f"o{i}" for i in range(301)]
+    texts = [" ".join(original)]
+    for i in range(1200):
+        w = list(original)
+        for at in rng.choice(np.arange(2, 299, 3), 15, replace=False):
+            w[at] = f"n{i}x{at}"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 2) for t in texts]
+    alike = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    assert all(alike(sets[0], s) for s in sets) and not any(alike(sets[i], sets[i + 1]) for i in range(1, 1200))
+    ids = [int(x) for x in rng.permutation(len(texts)) + 10]
+    got = minhash.near_duplicates(docs_of(spark, texts, ids=ids), k=2).collect()
+    assert [r["component_id"] for r in got] == [10] * len(texts)
+
+
+def test_minhash_sketches_reject_no_link():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(2**63), 2**63, n)) for n in (3, 250, 257, 600, 3000)]
+    sets += [np.union1d(s[rng.random(len(s)) > 0.1], rng.integers(-(2**63), 2**63, len(s) // 12)) for s in sets for _ in range(8)]
+    size, part = np.array([len(s) for s in sets]), np.arange(len(sets)) % 2
+    for parts in (part, part * 0):
+        got = set(zip(*minhash.close(size, [minhash.sketch(s) for s in sets], parts, np.arange(len(sets)), 80)))
+        got = {tuple(sorted(map(int, x))) for x in got}
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                x = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * x >= 80 * (size[a] + size[b] - x) and (parts[a] != parts[b] or not parts.any()):
+                    assert (a, b) in got
+
+
 # 4 ------------------------------------------------------------------------------------------------
 
 
