@@ -33,7 +33,7 @@ def relevelled(line: Column, offset: Column) -> Column:
 
 
 def _lines(content: Column) -> Column:
-    return F.split(F.regexp_replace(content, rf"(?:{NEWLINE})$", ""), NEWLINE)
+    return F.split(F.regexp_replace(content, rf"(?:{NEWLINE})\z", ""), NEWLINE)
 
 
 def expand(graph: Graph, roots: DataFrame, depth: int | None = None, keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

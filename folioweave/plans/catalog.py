@@ -196,6 +196,19 @@ def context_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("root", F.sha2("content", 256).alias("digest"), F.col("token_estimate").cast("long").alias("token_estimate"), "truncated")
 
 
+@registered(None)
+def compose_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compose_text over whole texts; SQL would hold each composed text several times, so there is none."""
+    text, _ = compose.compose(corpus_graph(spark, sf_dir))
+    return text.select("root", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("size"))
+
+
+@registered(None)
+def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compose.context_compose(corpus_graph(spark, sf_dir), token_limit=1000)
+    return out.select("root", F.sha2("content", 256).alias("digest"), F.col("token_estimate").cast("long").alias("token_estimate"), "truncated")
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[Graph, Graph]:
     return build(corpus_documents(spark, sf_dir, step=11, shift=1).where("doc_id % 10 <> 0")), corpus_graph(spark, sf_dir)
 
@@ -220,7 +233,7 @@ def diff_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT 'workflow_status_error' AS type, uri, 'status ''' || status || ''' is not allowed in workflow ''even''' AS detail FROM d WHERE i % 2 = 0 AND status <> 'done'")
 def workflow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = validate.workflow_findings(corpus_graph(spark, sf_dir, body=False), WORKFLOWS)
+    found = validate.workflow_findings(corpus_graph(spark, sf_dir), WORKFLOWS)
     return found.select("type", "uri", "detail")
 
 
@@ -229,8 +242,8 @@ bad AS (SELECT uri, old, status, 'even' AS w FROM moves WHERE i % 2 = 0 AND stat
   UNION ALL SELECT uri, old, status, 'seven' FROM moves WHERE CAST(i AS VARCHAR) LIKE '7%' AND NOT ((old = 'todo' AND status IN ('doing', 'done')) OR (old = 'done' AND status = 'blocked')))
 SELECT uri, 'status may not go from ''' || old || ''' to ''' || status || ''' in workflow ''' || w || '''' AS detail FROM bad""")
 def workflow_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = validate.status_history(corpus_graph(spark, sf_dir, body=False, status=3))
-    found = validate.workflow_findings(corpus_graph(spark, sf_dir, body=False), WORKFLOWS, history)
+    history = validate.status_history(corpus_graph(spark, sf_dir, status=3))
+    found = validate.workflow_findings(corpus_graph(spark, sf_dir), WORKFLOWS, history)
     return found.where("type = 'workflow_transition_error'").select("uri", "detail")
 
 
@@ -255,7 +268,7 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT 'd-' || (max(i) + 1) AS next_id FROM d")
 def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graph = from_parsed(parse(corpus_documents(spark, sf_dir, body=False)))
+    graph = from_parsed(parse(corpus_documents(spark, sf_dir)))
     return spark.createDataFrame([(next_id.next_id(graph, "d", r"#d(\d+)"),)], "next_id string")
 
 
@@ -288,7 +301,7 @@ def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered(f"""SELECT '/corpus/d' || i || '.md' AS path, CASE i % 50 WHEN 7 THEN 'missing_payload' WHEN 11 THEN 'duplicate_id' WHEN 13 THEN 'payload_not_first' ELSE 'duplicate_payload' END AS type
 FROM d WHERE i % 50 IN (7, 11, 13, 17)""")
 def parse_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = corpus_documents(spark, sf_dir, body=False)
+    documents = corpus_documents(spark, sf_dir)
     kind, id_ = F.col("doc_id") % 50, F.col("doc_id").cast("string")
     payload = F.concat(F.lit("\n```yaml\nsection: d"), id_, F.lit("\n```\n"))
     spoilt = (
