@@ -16,21 +16,36 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """lang becomes the predicted language; documents without one (no letter) go. The network learns from the labelled rows."""
+    """lang becomes the predicted language; documents without a letter go. The network learns from the labelled rows.
+
+    Where no row is labelled nothing can be predicted: documents with a letter then stay as they are.
+    """
+    docs = docs.select(*COLUMNS)
     model = langid.learn(docs, order=F.xxhash64("doc_id"))
-    found = langid.identify(docs.select(*COLUMNS, F.col("text").alias("read")), model, text_col="read").where("lang_pred <> 'und'")
+    if not model[1]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identify(docs.withColumn("read", F.col("text")), model, text_col="read").where("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates (five-word shingles, similarity of 0.8 or more) the document of smallest id stays."""
-    marked = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = marked.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near-duplicates (five-word shingles, similarity of 0.8 or more) the document of smallest id stays.
+
+    A document is an id and a text: where an id has several texts, all but one of them are compared under numbers of
+    their own, so that no text goes without a copy that stays.
+    """
+    docs = docs.select(*COLUMNS).withColumn("print", F.xxhash64("text"))
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("print").alias("p0"), F.max("print").alias("p1")).where("p0 <> p1")
+    docs = docs.join(several.select("doc_id", "p0").hint("merge"), "doc_id", "left")
+    other = F.xxhash64("doc_id", "print").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))
+    docs = docs.withColumn("document", F.when(F.col("p0") != F.col("print"), other).otherwise(F.col("doc_id").cast("long")))
+    marked = minhash.near_duplicates(docs, id_col="document", k=5, percent=80)
+    gone = marked.where(~F.col("kept")).select("document").distinct()
+    return docs.join(gone.hint("merge"), "document", "left_anti").select(*COLUMNS)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return feistel.pseudonymise(docs, queries.PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return feistel.pseudonymise(docs.select(*COLUMNS), queries.PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,63 +170,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = stage.table(texts.mapInArrow(lambda it: _signatures(k, it), "id long, n_shingles long, print binary, bands array<long>"))
     some = every.where("n_shingles > 0 and id is not null")
-    classes = stage.table(some.groupBy("print").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    classes = stage.table(some.groupBy("print").agg(F.min("id").alias("id"), F.min("n_shingles").alias("size")))
     one = some.join(classes.select("print", "id"), ["print", "id"], "left_semi")
-    keyed = one.select("id", F.explode("bands").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min("id").alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("c <> z")
-    member = stage.table(keyed.join(centres.drop("z"), "key"))
+    keyed = one.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min(F.struct("id", "size")).alias("c"), F.max("id").alias("z"), F.count("*").alias("n")).where("c.id <> z")
+    # each table of keys is written before it is joined: beside its aggregate in one stage a hot key could not be split
+    centres = stage.table(centres.select("key", F.col("c.id").alias("c"), F.col("c.size").alias("cs"), "n"))
+    member = stage.table(keyed.join(centres.hint("merge"), "key"))
+    # sizes alone settle most false candidates, before any set is fetched
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
     # round one: stars from the smallest id of each bucket
-    first = stage.table(member.where("id <> c").select("c", F.col("id").alias("m")).distinct())
-    wanted = first.select(F.col("c").alias("id")).union(first.select(F.col("m").alias("id"))).distinct()
+    first = stage.table(member.where("id <> c").where(fits(F.col("size"), F.col("cs"))).select("c", F.col("id").alias("m")).distinct())
     # always a merge join: the ids grow with the documents, so a broadcast that holds at one size fails at the next
-    texts1 = texts.join(wanted.hint("merge"), "id", "left_semi")
-    sets = stage.table(texts1.mapInArrow(lambda it: _sets(k, it), "id long, shingles array<long>"))
+    wanted = member.select("id").distinct()
+    sets = stage.table(texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(lambda it: _sets(k, it), "id long, shingles array<long>"))
 
     def confirmed(edges: DataFrame) -> DataFrame:
-        m = edges.join(sets.select(F.col("id").alias("m"), F.col("shingles").alias("sm")), "m")
-        both = m.join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("sc")), "c")
-        # the smaller set bounds the intersection: most false candidates end here
-        small, large = F.least(F.size("sm"), F.size("sc")), F.greatest(F.size("sm"), F.size("sc"))
-        both = both.where(small * 100 >= large * percent).select("c", "m", (F.size("sm") + F.size("sc")).cast("long").alias("both"), F.size(F.array_intersect("sm", "sc")).cast("long").alias("x"))
+        m = edges.join(sets.select(F.col("id").alias("m"), F.col("shingles").alias("sm")).hint("merge"), "m")
+        both = m.join(sets.select(F.col("id").alias("c"), F.col("shingles").alias("sc")).hint("merge"), "c")
+        both = both.where(fits(F.size("sm"), F.size("sc"))).select("c", "m", (F.size("sm") + F.size("sc")).cast("long").alias("both"), F.size(F.array_intersect("sm", "sc")).cast("long").alias("x"))
         return both.where(F.col("x") * 100 >= (F.col("both") - F.col("x")) * percent).select(F.col("c").alias("a"), F.col("m").alias("b"))
 
-    links = stage.table(confirmed(first))
-    joined = connected_components(links, stage)
-
-    # round two: buckets of three or more that hold several components, from other centres
-    more = member.where("n > 2").join(joined, "id", "left").select("key", "id", "c", F.coalesce("component_id", "id").alias("k"))
-    more = stage.table(more)
-    mixed = more.groupBy("key").agg(
-        F.min("k").alias("k0"), F.max("k").alias("k1"),
-        F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "k")).alias("lo"),
-        F.max(F.struct(F.xxhash64("id", "key").alias("h"), "id", "k")).alias("hi"),
-    ).where("k0 <> k1").select("key", F.explode(F.array("lo", "hi")).alias("o"))
-    second = more.join(mixed, "key").where("id <> o.id and k <> o.k and o.id <> c and id <> c")
-    second = second.select(F.greatest("id", "o.id").alias("m"), F.least("id", "o.id").alias("c")).distinct()
-    second = second.join(first, ["c", "m"], "left_anti")
-    second = stage.table(second)
+    # an id whose rows have several sets is one vertex: it is tied to the representative of each
+    several = every.where("id is not null").groupBy("id").agg(F.min("print").alias("p0"), F.max("print").alias("p1")).where("p0 <> p1").select("id")
+    ties = some.join(several.hint("merge"), "id", "left_semi").join(classes.select("print", F.col("id").alias("rep")), "print")
+    ties = stage.table(ties.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+    links = stage.table(confirmed(first).union(ties.where("a <> b")))
+    joined = stage.table(connected_components(links, stage))
+
+    def mixed_members() -> DataFrame:
+        """Members of the buckets of three or more that still hold several components."""
+        of = stage.table(member.where("n > 2").join(joined.hint("merge"), "id", "left").select("key", "id", "size", "c", F.coalesce("component_id", "id").alias("k")))
+        mixed = of.groupBy("key").agg(
+            F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("n"),
+            F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id", "k", "size")).alias("lo"),
+            F.max(F.struct(F.xxhash64("id", "key").alias("h"), "id", "k", "size")).alias("hi"),
+        ).where("k0 <> k1")
+        return of.join(stage.table(mixed.select("key", "n", "lo", "hi")).hint("merge"), "key")
+
+    # round two: from the members of smallest and largest keyed hash
+    second = mixed_members().withColumn("o", F.explode(F.array("lo", "hi"))).where("id <> o.id and k <> o.k and o.id <> c and id <> c")
+    second = second.where(fits(F.col("size"), F.col("o.size"))).select(F.greatest("id", "o.id").alias("m"), F.least("id", "o.id").alias("c")).distinct()
+    second = stage.table(second.join(first.hint("merge"), ["c", "m"], "left_anti"))
     links = stage.table(links.union(confirmed(second)))
     joined = stage.table(connected_components(links, stage))
 
     # buckets that are mixed even now: all pairs of different components, part by part
-    more = stage.table(more.select("key", "id").join(joined, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("k")))
-    mixed = more.groupBy("key").agg(F.min("k").alias("k0"), F.max("k").alias("k1"), F.count("*").alias("n")).where("k0 <> k1")
-    mixed = mixed.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rest = stage.table(more.join(mixed, "key"))
+    rest = mixed_members().select("key", "id", "k", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rest = stage.table(rest)
     marks = sets.join(rest.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(_sketches, "id long, size long, sketch binary")
     rest = rest.join(stage.table(marks).hint("merge"), "id").withColumn("p", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rest = rest.select("key", "id", "k", "size", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     rest = rest.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "k", "size", "sketch")
     third = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _settled(percent, it), "c long, m long")
-    third = third.distinct().join(first.union(second.select("c", "m")), ["c", "m"], "left_anti")
-    more_links = stage.table(confirmed(stage.table(third)))
+    third = stage.table(third.distinct().join(first.union(second.select("c", "m")), ["c", "m"], "left_anti"))
+    more_links = stage.table(confirmed(third))
     if not more_links.isEmpty():
         joined = stage.table(connected_components(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(more_links), stage))
 
-    of_class = classes.withColumnRenamed("id", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    of_class = of_class.select("print", F.coalesce("component_id", "rep").alias("component_id"))
-    # several rows of one id may have different sets; the id is one vertex
-    out = every.select("id", "n_shingles", "print").join(of_class, "print", "left")
-    out = out.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    of_class = classes.select("print", F.col("id").alias("rep")).join(joined.withColumnRenamed("id", "rep").hint("merge"), "rep", "left")
+    of_class = of_class.select(F.col("print").alias("v"), F.coalesce("component_id", "rep").alias("component_id"))
+    # a row without shingles goes with the other rows of its id, which is in no class
+    blank = every.where("n_shingles = 0").select("id").distinct().join(joined.hint("merge"), "id").select(F.col("id").cast("string").cast("binary").alias("v"), "component_id")
+    out = every.select("id", "n_shingles", F.when(F.col("id").isNull(), None).when(F.col("n_shingles") > 0, F.col("print")).otherwise(F.col("id").cast("string").cast("binary")).alias("v"))
+    out = out.join(stage.table(of_class.union(blank)).hint("merge"), "v", "left")
+    component = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -28,18 +28,34 @@ def shared_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+#: Where Spark has this setting, a write's shuffle files go as soon as the table is written: nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
-    """Tables of one operator run, written as Parquet so that a lost executor costs no lineage."""
+    """Tables of one operator run, written as Parquet so that a lost executor costs no lineage.
+
+    They are deleted when the session's JVM ends, or before by ``drop`` and ``drop_table``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(at)
+        system.deleteOnExit(at)
 
     def table(self, df: DataFrame, compression: str = "lz4") -> DataFrame:
         self._n += 1
         at = f"{self.path}/{self._n:03d}"
-        df.write.option("compression", "zstd" if compression == "zstd" else "snappy").parquet(at)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd" if compression == "zstd" else "snappy").parquet(at)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def _delete(self, path: str) -> None:
@@ -81,7 +97,8 @@ def connected_components(edges: DataFrame, stage: Stage, max_rounds: int = 50) -
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stage.table(small.union(down.select("a", F.col("m").alias("b"))).distinct())
+        last, e = e, stage.table(small.union(down.select("a", F.col("m").alias("b"))).distinct())
+        stage.drop_table(last)
         now = _fingerprint(e)
         if now == seen:
             break

@@ -147,6 +147,20 @@ def test_minhash_equals_brute_force(spark, k):
     assert len(same) == 3 and all(r["kept"] for r in same)
 
 
+def test_minhash_rows_of_one_id_are_one_vertex(spark):
+    rng = np.random.default_rng(14)
+    a, b = words(rng, 60, 500), words(rng, 60, 500)
+    docs = docs_of(spark, [a, a, b, b, " ", a], ids=[3, 5, 5, 7, 7, 3])
+    got = sorted(tuple(r)[:1] + tuple(r)[2:] for r in minhash.near_duplicates(docs, k=2).collect())
+    assert got == [(3, 3, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 3, False), (7, 3, False)]
+
+
+def test_minhash_long_text(spark):
+    long = words(np.random.default_rng(15), 200_000, 10**6)
+    got = minhash.near_duplicates(docs_of(spark, [long + " end", "short", long])).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 0, 1]
+
+
 def test_minhash_links_many_edited_copies_of_one_text(spark, monkeypatch):
     monkeypatch.setattr(minhash, "PART", 300)
     rng = np.random.default_rng(3)
@@ -426,3 +440,18 @@ def test_pipeline_stages(spark, tmp_path):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, first, "").collect()}
     assert 80 not in kept and 81 not in kept and {0, 1, 2} <= kept
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(16)
+    a, b, c = (words(rng, 80, 500) for _ in range(3))
+    docs = docs_of(spark, [a, a, b, b, c, None, "12"], ids=[3, 5, 5, 7, None, 8, 9])
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert {t for _, t in kept} == {a, b, c, None, "12"} and (3, a) in kept and len(kept) == 5
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("x"))
+    first = corpus_pipeline.identify_language(spark, unlabelled, "")
+    assert sorted(r["text"] for r in first.collect()) == sorted([a, a, b, b, c])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs_of(spark, [], extra=True), "").count() == 0
