@@ -47,13 +47,14 @@ class Stage:
         system.mkdirs(at)
         system.deleteOnExit(at)
 
-    def table(self, df: DataFrame, compression: str = "lz4") -> DataFrame:
+    def table(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """df, written and read again; ``by``: columns by whose values the files are parted."""
         self._n += 1
         at = f"{self.path}/{self._n:03d}"
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.option("compression", "zstd" if compression == "zstd" else "snappy").parquet(at)
+            df.write.parquet(at, partitionBy=by, compression="snappy")
         finally:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)

@@ -313,40 +313,99 @@ def test_pitmanyor_counts_and_gain(spark):
         assert math.isclose(r["base_score"], sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), rel_tol=1e-9)
         assert r["score"] <= 0
     gain = np.mean([(got[i]["score"] - got[i]["base_score"]) / len(toks[i]) for i in range(200) if held(i)])
-    assert gain > 0.3
+    assert gain > 1.0
     none = pitmanyor.score(docs_of(spark, ["a b", None]), F.lit(True)).collect()
     assert [(r["score"], r["base_score"], r["n_known"]) for r in none] == [(0.0, 0.0, 0)] * 2
     assert pitmanyor.score(docs_of(spark, []), F.lit(True)).count() == 0
 
 
-def test_pitmanyor_probabilities_sum_to_one():
+def test_pitmanyor_equals_the_formula_over_its_seatings(spark):
+    """Blocks, spread contexts and chunks against dictionaries; each context's probabilities sum to one."""
+    from folioweave.llm.shared import Stage
+
     rng = np.random.default_rng(9)
-    v = 30
-    c = rng.integers(0, 9, v)
-    t = np.minimum(c, rng.integers(1, 4, v)) * (c > 0)
-    at_root = t + rng.integers(1, 5, v)
-    root_t = np.maximum(1, at_root // 2)
-    totals = pitmanyor.Totals(np.array([c.sum(), at_root.sum()], float), np.array([t.sum(), root_t.sum()], float), (0.6, 0.7), (3.0, 2.0), v)
-    root = np.append(totals.root(at_root, root_t), totals.root(np.array([0]), np.array([0])))
-    p = totals.follow(np.zeros(v + 1, int), np.append(c, 0), np.append(t, 0), root)
-    assert math.isclose(root.sum(), 1) and math.isclose(p.sum(), 1)
+    texts = [words(rng, int(rng.integers(0, 90)), 40) for _ in range(60)] + EDGE + [words(rng, 15_000, 200).replace(" ", " w1 ")]
+    ids = [*range(len(texts) - 3), None, 7, 7]
+    docs = pitmanyor.prepared(docs_of(spark, texts, ids=ids), F.col("doc_id") % 5 == 1)
+    stage = Stage(spark, "test")
+    model = pitmanyor.learn(docs, stage, block=2000)
+    assert model.blocks > 10 and len(model.split)
+    got = pitmanyor.scored(docs, model, stage).collect()
+    assert len(got) == len(texts)
+    token, low = {}, lambda w: w.translate({i: i + 32 for i in range(65, 91)})
+    for w in {low(w) for t in texts for w in WORD.findall(t or "")}:
+        token[w] = int(pitmanyor.tokens_of(*[np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])])[0][0])
+    end, start = int(pitmanyor.END), int(pitmanyor.START)
+    count, tables = Counter(), Counter()
+    for i, t in zip(ids, texts):
+        if i is not None and i % 5 != 1:
+            seq = [token[low(w)] for w in WORD.findall(t or "")] + [end]
+            count.update(zip([start, *seq[:-1]], seq))
+    n = len(model.samples)
+    for r in model.state.collect():
+        f = lambda x, t: np.frombuffer(r[x], t).tolist()  # noqa: E731, B023
+        u, q, t = f("x0", np.uint64), f("x5", np.uint64), np.frombuffer(r["x7"], np.int32).reshape(n, -1)
+        for k, (a, b, c) in enumerate(zip(f("x3", np.int32), f("x4", np.int32), f("x6", np.int64))):
+            assert count[u[a], q[b]] == c > 1
+            for s in range(n):
+                tables[s, u[a], q[b]] = int(t[s, k])
+                assert 1 <= t[s, k] <= c
+    root = {}
+    for r in model.answers.collect():
+        root.update(zip(np.frombuffer(r["x0"], np.uint64).tolist(), np.frombuffer(r["x1"], np.float32).tolist()))
+    unknown = np.mean([s.of_root(0, 0) for s in model.samples])
+    known = {w for _, w in count}
+    assert math.isclose(sum(root[w] for w in known) + unknown, 1, rel_tol=1e-4)
+    customers, of = Counter(), {}
+    for (u, w), c in count.items():
+        customers[u] += c
+        of.setdefault(u, []).append(w)
+    t_of = lambda s, u, w: tables.get((s, u, w), min(count[u, w], 1))
+
+    def p(u, w):
+        if u not in of:
+            return root.get(w, unknown)
+        own = np.mean([x.own(count[u, w], t_of(s, u, w), customers[u]) for s, x in enumerate(model.samples)])
+        share = np.mean([x.share(customers[u], sum(t_of(s, u, v) for v in of[u])) for s, x in enumerate(model.samples)])
+        return own + share * root.get(w, unknown)
+
+    for u in list(of)[:20]:
+        assert math.isclose(sum(p(u, w) for w in known) + p(u, 1), 1, rel_tol=1e-4)
+    want = []
+    for t in texts:
+        seq = [token[low(w)] for w in WORD.findall(t or "")] + [end]
+        want.append(sum(math.log10(p(u, w)) for u, w in zip([start, *seq[:-1]], seq)))
+    assert np.allclose(sorted(r["p"] for r in got), sorted(want), rtol=1e-5)
 
 
 def test_stirling_numbers():
     table = pitmanyor.stirling(0.5, 64)
     assert math.isclose(table[3, 2], math.log(3 * 0.5))  # (1 - d) * 3 ways to part three customers in two
-    c, t = np.full(63, 64), np.arange(1, 64)
-    near = pitmanyor.stirling_saddle(0.5, c, t)
+    near = pitmanyor.Saddle(0.5)(np.full(63, 64.0), np.arange(1.0, 64))
     exact = table[64, 1:64]
     assert np.abs((near - near[20]) - (exact - exact[20]))[2:60].max() < 0.02
-
-
-def test_draws_follow_the_conditional():
-    n, d, log_new = 20000, 0.6, math.log(0.4)
-    u = np.random.default_rng(3).random(n)
-    t = pitmanyor.draw_tables(np.full(n, 5), np.ones(n, int), np.full(n, log_new), pitmanyor.stirling(d, pitmanyor.EXACT), d, u, u)
-    p = np.exp(pitmanyor.stirling(d, 5)[5, 1:6] + np.arange(1, 6) * log_new)
-    assert np.abs(np.bincount(t, minlength=6)[1:] / n - p / p.sum()).max() < 0.02
+    assert math.isclose(pitmanyor.log_rising(2.0, 0.5, np.array([3, 1])), math.log(2 * 2.5 * 3) + math.log(2))
+
+
+@pytest.mark.parametrize("c,log_p", [(5, -1.0), (60, -2.0), (2000, -4.0), (2000, -9.0), (20000, -6.0)])
+def test_draws_follow_the_conditional(c, log_p):
+    """Against exact weights by the recurrence, in the window of t that holds the mass."""
+    n, d, a, upto = 4000, 0.7, 30.0, min(c, 1500)
+    s = np.full(upto + 1, -np.inf)
+    s[0] = 0
+    t = np.arange(upto + 1)
+    for x in range(c):
+        s, old = s + np.log(np.maximum(x - t * d, 1e-300)), s
+        s[1:] = np.logaddexp(s[1:], old[:-1])
+    z = s[1:] + np.cumsum(np.log(a + d * np.arange(upto)) + log_p)
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    mean = (p * t[1:]).sum()
+    spread = math.sqrt((p * (t[1:] - mean) ** 2).sum())
+    assert p[-1] < 1e-6 or upto == c
+    u = (np.arange(n) + 0.5) / n
+    got = pitmanyor.draw_tables(np.full(n, c), np.full(n, a), np.full(n, log_p), d, u)
+    assert abs(got.mean() - mean) < 0.03 * spread + 0.02 and abs(got.std() - spread) < 0.05 * spread + 0.05
 
 
 # 8 ------------------------------------------------------------------------------------------------
