@@ -28,7 +28,7 @@ from .text import Words, chunks, mix, shingle_sets
 
 BINS, ROWS = 128, 4
 #: Members in a part of a mixed bucket; bits of the shortest and the longest sketch; numbers held at once in a comparison.
-PART, BITS, TILE = 2048, (512, 1 << 16), 1 << 21
+PART, BITS, TILE = 512, (512, 1 << 16), 1 << 21
 _shift = np.uint64(64 - BINS.bit_length() + 1)
 _edges = np.arange(BINS, dtype=np.uint64) << _shift
 _probe = np.stack([np.random.default_rng(1000 + i).permutation(BINS) for i in range(BINS)])

@@ -10,7 +10,7 @@ a few numpy arrays. A context with more tokens than a block (at most SPLIT of th
 its words. Root counts lie in blocks of word hashes.
 
 Seating is sampled by Gibbs in turns. The root step sums the tables of each word over all blocks, draws the
-root's own tables and answers each block with its words' root probabilities; then each block draws, in LOCAL sweeps of two halves, the
+root's own tables and answers each block with its words' root probabilities; then each block draws, one half of its pairs after the other, the
 number of tables of each word in each restaurant from its exact conditional given the root: generalised Stirling numbers up to EXACT
 customers, beyond by inversion of their saddle-point value on a grid around the mode. A word seen once in a context has one table, so only
 pairs seen twice or more are sampled. Discounts and strengths of both levels are drawn on a grid of values by
@@ -39,10 +39,12 @@ from .shared import Stage
 from .text import Words, chunks, mix
 
 #: Tokens in a block of pairs, and most contexts that are spread over blocks.
-BLOCK, SPLIT = 1 << 21, 1 << 20
-EXACT, BURN, SAMPLES, LOCAL = 64, 3, 3, 2
+BLOCK, SPLIT = 1 << 20, 1 << 20
+EXACT, BURN, SAMPLES = 64, 3, 3
 #: Tokens and texts that a worker gathers before it hands them on.
-FLUSH, TEXTS = 1 << 21, 1 << 16
+FLUSH, TEXTS = 1 << 20, 1 << 16
+#: Scoring takes the blocks in so many rounds, each a pass over the texts, so that fewer pairs are on disk at once.
+ROUNDS = 2
 END, START = np.uint64(0xE5D00000000000E5), np.uint64(0x57A0000000000057)
 GRID = np.arange(-2, 3)
 
@@ -116,9 +118,8 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def log_rising(theta: float, d: float, n: np.ndarray) -> float:
-    """The sum of log theta (theta + d) ... (theta + (n - 1) d) over all n."""
-    value, times = np.unique(n, return_counts=True)
+def log_rising(theta: float, d: float, value: np.ndarray, times: np.ndarray) -> float:
+    """The sum of log theta (theta + d) ... (theta + (n - 1) d) over all values n, each so many times."""
     return float(((value * np.log(d) + log_gamma(theta / d + value) - math.lgamma(theta / d)) * times).sum())
 
 
@@ -196,8 +197,9 @@ def draw_tables(c: np.ndarray, a: np.ndarray, log_p: np.ndarray, d: float, u: np
     """Numbers of tables for c customers each: S_d(c, t) a (a + d) ... (a + (t - 1) d) p^t is the weight of t; a: strength and d times the other tables."""
     out = np.minimum(c, 1).astype(np.int64)
     table = stirling(d, EXACT)
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(2, EXACT + 2))
+    key = np.minimum(c, EXACT + 1).astype(np.uint8)
+    order = np.argsort(key, kind="stable")
+    bounds = np.searchsorted(key[order], np.arange(2, EXACT + 2))
     for size, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:]), 2):
         for at in range(lo, hi, 1 << 16):
             rows = order[at : min(hi, at + (1 << 16))]
@@ -276,7 +278,8 @@ class Level:
 def restaurants(level: Level, c: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Log likelihood of customers and tables of restaurants, for each discount and then each strength of the grids (without the Stirling numbers)."""
     pairs = [(d, level.theta) for d in level.discounts()] + [(level.d, x) for x in level.strengths()]
-    return np.array([log_rising(x, d, t) - log_rising(x, 1.0, c) for d, x in pairs])
+    guests, tables = np.unique(c, return_counts=True), np.unique(t, return_counts=True)
+    return np.array([log_rising(x, d, *tables) - log_rising(x, 1.0, *guests) for d, x in pairs])
 
 
 # blocks --------------------------------------------------------------------------------------------
@@ -371,10 +374,11 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = FLUSH) -> Iterator[
         yield out()
 
 
-def block_pairs(tokens: np.ndarray, context: np.ndarray, split: np.ndarray, blocks: int):
-    """For each block with pairs: (block, the pairs' contexts, words, and slices of ``order``, tokens by pair)."""
+def block_pairs(tokens: np.ndarray, context: np.ndarray, split: np.ndarray, blocks: int, turn: int | None = None):
+    """Blocks with pairs, bounds of their slices, the pairs' contexts and words, tokens by pair and their bounds; of all blocks, or of one round."""
     spread = member(split, context)[1]
-    for part, by_word in ((np.flatnonzero(~spread), False), (np.flatnonzero(spread), True)):
+    mine = np.ones(len(tokens), bool) if turn is None else block_of(np.where(spread, tokens, context), blocks) % ROUNDS == turn
+    for part, by_word in ((np.flatnonzero(~spread & mine), False), (np.flatnonzero(spread & mine), True)):
         if not len(part):
             continue
         major, minor = (tokens[part], context[part]) if by_word else (context[part], tokens[part])
@@ -478,7 +482,7 @@ def _root_step(totals: Totals, turn: int, keep: bool, key, root: pa.Table, asked
 
 
 def _sit(totals: Totals, split: np.ndarray, turn: int, keep: bool, key, state: pa.Table, answers: pa.Table) -> pa.Table:
-    """LOCAL sweeps over the pairs of a block, each in two halves; ``keep``: the tables before them are a sample."""
+    """A sweep over the pairs of a block, in two halves; ``keep``: the tables before them are a sample."""
     b = key[0].as_py()
     kinds = (np.uint64, np.int64, np.int64, np.int32, np.int32, np.uint64, np.int64, np.int32)
     contexts, customers, once, ru, rq, words, c, tables = (unblob(state.column(x), t) for x, t in zip(X, kinds))
@@ -494,12 +498,11 @@ def _sit(totals: Totals, split: np.ndarray, turn: int, keep: bool, key, state: p
     # tables of a spread context that other blocks hold, as of the last turn
     elsewhere = np.where(is_split, totals.split_t[at] - inside(), 0) if len(split) else np.zeros(len(contexts), np.int64)
     half = uniforms(words[rq], contexts[ru], 0) < 0.5 if n else np.zeros(0, bool)
-    for sweep in range(LOCAL):
-        for side in (True, False):
-            pick = np.flatnonzero(half == side)
-            total = np.maximum(inside() + elsewhere, 0)[ru[pick]] - t[pick]
-            u = uniforms(words[rq[pick]], contexts[ru[pick]], turn * 8 + sweep + 1)
-            t[pick] = draw_tables(c[pick], np.maximum(level.theta + level.d * total, 1e-9), log_p[pick], level.d, u)
+    for side in (True, False):
+        pick = np.flatnonzero(half == side)
+        total = np.maximum(inside() + elsewhere, 0)[ru[pick]] - t[pick]
+        u = uniforms(words[rq[pick]], contexts[ru[pick]], turn + 1)
+        t[pick] = draw_tables(c[pick], np.maximum(level.theta + level.d * total, 1e-9), log_p[pick], level.d, u)
     held = inside()
     own = ~is_split
     likely = restaurants(level, customers[own], held[own])
@@ -597,17 +600,17 @@ def learn(texts: DataFrame, stage: Stage, block: int = BLOCK) -> Model:
 # scoring -------------------------------------------------------------------------------------------
 
 
-def _occurrences(blocks: int, split: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _occurrences(blocks: int, split: np.ndarray, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each chunk of texts: a row without a block that holds what the texts are, and the chunk's pairs for each block, with the texts they stand in."""
     names = ["kind", "b", "at", *X, "chunk", "ids", "held"]
     lists = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
     for start, (ids, held, train), tokens, first in gathered(batches):
         size = np.diff(first)
         learn = np.repeat(np.asarray(train.to_numpy(zero_copy_only=False), bool), size).astype(np.uint32)
-        whole = row(TEXTS_OF, -1 - start % blocks, 0, size.astype(np.int64))
+        whole = row(TEXTS_OF, -1 - start % blocks, turn, size.astype(np.int64))
         yield pa.RecordBatch.from_arrays([*whole, pa.array([start]), lists(ids), lists(held)], names)
         text = np.repeat(np.arange(len(size)), size).astype(np.uint16)
-        for of, bounds, (u, w), order, at in block_pairs(tokens, before(tokens, first), split, blocks):
+        for of, bounds, (u, w), order, at in block_pairs(tokens, before(tokens, first), split, blocks, turn):
             n = len(of)
             data = rows(TEXTS_OF, of, np.zeros(n), blobs(u, bounds), blobs(w, bounds), blobs(np.diff(at).astype(np.uint32), bounds), blobs(text[order], at[bounds]), blobs(np.add.reduceat(learn[order], at[:-1]).astype(np.uint32), bounds))
             yield pa.RecordBatch.from_arrays([*data, pa.array(np.full(n, start, np.int64)), pa.nulls(n, pa.list_(ids.type)), pa.nulls(n, pa.list_(pa.bool_()))], names)
@@ -673,19 +676,30 @@ def _look_up(model: tuple, group: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(out["chunk"], pa.int64()), "ids": pa.nulls(n, ids), "held": pa.nulls(n, held), "size": pa.nulls(n, pa.binary()), **{k: pa.array(out[k], pa.binary()) for k in ("text", "p", "base", "seen")}})
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    """The texts of a chunk with the sums over all blocks."""
-    group = group.combine_chunks()
+SUMS = ("p", "base", "seen")
+
+
+def _chunk_sums(group: pa.Table) -> pa.Table:
+    """A chunk's texts with the sums over the blocks of one round."""
     head = group.filter(group.column("size").is_valid())
-    size = unblob(head.column("size"), np.int64)
-    sums = [np.zeros(len(size)) for _ in range(3)]
+    sums = [np.zeros(len(unblob(head.column("size"), np.int64))) for _ in SUMS]
     parts = group.filter(group.column("text").is_valid())
-    for t, *values in zip(*(parts.column(k).to_pylist() for k in ("text", "p", "base", "seen"))):
+    for t, *values in zip(*(parts.column(k).to_pylist() for k in ("text", *SUMS))):
         t = np.frombuffer(t, np.uint16)
         for s, v, kind in zip(sums, values, (np.float64, np.float64, np.uint32)):
             s[t] += np.frombuffer(v, kind)
+    return pa.table({k: head.column(k) for k in ("chunk", "ids", "held", "size")} | {k: one(s) for k, s in zip(SUMS, sums)})
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """The texts of a chunk with the sums over all rounds."""
+    group = group.combine_chunks()
+    head = group.slice(0, 1)
+    if group.num_rows != ROUNDS or any(group.column(k)[i] != head.column(k)[0] for k in ("ids", "size") for i in range(group.num_rows)):
+        raise RuntimeError("the rows of the input came in another order when it was read again: write it to a table before scoring")
     flat = lambda k: head.column(k).combine_chunks().flatten()
-    return pa.table({"id": flat("ids"), "held": flat("held"), "n_tokens": pa.array(size), "p": pa.array(sums[0]), "base": pa.array(sums[1]), "seen": pa.array(sums[2].astype(np.int64))})
+    sums = [unblob(group.column(k), np.float64).reshape(ROUNDS, -1).sum(0) for k in SUMS]
+    return pa.table({"id": flat("ids"), "held": flat("held"), "n_tokens": pa.array(unblob(head.column("size"), np.int64)), "p": pa.array(sums[0]), "base": pa.array(sums[1]), "seen": pa.array(np.rint(sums[2]).astype(np.int64))})
 
 
 def _unlearnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -706,12 +720,17 @@ def scored(texts: DataFrame, model: Model, stage: Stage) -> DataFrame:
     blocks, split = model.blocks, model.split
     sent = (model.samples, split, model.tokens + 0.5 * (model.words + 1))
     more = f"chunk long, ids array<{kind}>, held array<boolean>"
-    asked = read.mapInArrow(lambda it: _occurrences(blocks, split, it), f"{SHAPE}, {more}")
     columns = ["kind", "b", "at", *X]
     blank = [F.lit(None).cast(t).alias(c) for c, t in (("chunk", "long"), ("ids", f"array<{kind}>"), ("held", "array<boolean>"))]
-    every = asked.union(model.state.select(*columns, *blank)).union(model.answers.select(*columns, *blank))
-    looked = every.groupBy("b").applyInArrow(lambda t: _look_up(sent, t), f"{more}, size binary, text binary, p binary, base binary, seen binary")
-    return stage.table(looked.groupBy("chunk").applyInArrow(_summed, result))
+    found = None
+    for turn in range(ROUNDS):
+        every = read.mapInArrow(lambda it, turn=turn: _occurrences(blocks, split, turn, it), f"{SHAPE}, {more}")
+        for known in (model.state, model.answers):
+            every = every.union(known.where(F.col("b") % ROUNDS == turn).select(*columns, *blank))
+        looked = every.groupBy("b").applyInArrow(lambda t: _look_up(sent, t), f"{more}, size binary, text binary, p binary, base binary, seen binary")
+        sums = stage.table(looked.groupBy("chunk").applyInArrow(_chunk_sums, f"{more}, size binary, p binary, base binary, seen binary"))
+        found = sums if found is None else found.union(sums)
+    return stage.table(found.groupBy("chunk").applyInArrow(_summed, result))
 
 
 def prepared(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

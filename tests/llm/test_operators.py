@@ -384,7 +384,7 @@ def test_stirling_numbers():
     near = pitmanyor.Saddle(0.5)(np.full(63, 64.0), np.arange(1.0, 64))
     exact = table[64, 1:64]
     assert np.abs((near - near[20]) - (exact - exact[20]))[2:60].max() < 0.02
-    assert math.isclose(pitmanyor.log_rising(2.0, 0.5, np.array([3, 1])), math.log(2 * 2.5 * 3) + math.log(2))
+    assert math.isclose(pitmanyor.log_rising(2.0, 0.5, np.array([3, 1]), np.array([1, 1])), math.log(2 * 2.5 * 3) + math.log(2))
 
 
 @pytest.mark.parametrize("c,log_p", [(5, -1.0), (60, -2.0), (2000, -4.0), (2000, -9.0), (20000, -6.0)])
