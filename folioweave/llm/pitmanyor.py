@@ -382,7 +382,13 @@ def block_pairs(tokens: np.ndarray, context: np.ndarray, split: np.ndarray, bloc
         if not len(part):
             continue
         major, minor = (tokens[part], context[part]) if by_word else (context[part], tokens[part])
-        order, at, a, b = grouped(major, minor)
+        # sorted by half of each hash: a pair that a collision parts comes twice, and is merged in its block
+        order = np.argsort(major >> np.uint64(32) << np.uint64(32) | minor >> np.uint64(32))
+        a, b = major[order], minor[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(new)
+        a, b = a[at], b[at]
         of, bounds = slices(a, blocks)
         yield of, bounds, (b, a) if by_word else (a, b), part[order], np.append(at, len(order))
 

@@ -439,15 +439,66 @@ def test_packing_keeps_all_ids(spark):
     need = packing.lower_bound(sizes, 2048)
     assert -(-total // 2048) <= need <= len(by_seq) <= need + 1
     assert packing.pack(docs_of(spark, [])).count() == 0
+    odd = packing.pack(docs_of(spark, ["a b", "c", "a b", words(rng, 40_000, 5000)], ids=[None, 4, 4, 5]))
+    assert odd.where("doc_id is null").count() == 1 and odd.where("doc_id = 4").count() == 2 and odd.where("doc_id = 5").count() > 20
+
+
+def fewest_bins(sizes, room):
+    """By trying every bin for every item."""
+    best = len(sizes)
+    rooms = []
+
+    def place(i):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= sizes[i] and rooms[k] not in rooms[:k]:
+                rooms[k] -= sizes[i]
+                place(i + 1)
+                rooms[k] += sizes[i]
+        rooms.append(room - sizes[i])
+        place(i + 1)
+        rooms.pop()
+
+    sizes = sorted(sizes, reverse=True)
+    place(0)
+    return best
+
+
+def packed_well(sizes, room):
+    bins = packing.complete(sizes, room)
+    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= room for b in bins)
+    return len(bins)
+
+
+def test_bin_completion_equals_brute_force():
+    rng = np.random.default_rng(21)
+    gained = 0
+    for _ in range(300):
+        sizes = [int(x) for x in rng.integers(3, 60, int(rng.integers(1, 12)))]
+        got = packed_well(sizes, 100)
+        assert got == fewest_bins(sizes, 100)
+        gained += got < len(packing.best_fit(sizes, 100))
+    assert gained
+    assert packing.complete([], 10) == []
+    assert packing.lower_bound([6, 6, 6, 5, 5], 10) == 4 and packing.lower_bound([6, 6, 4, 4], 10) == 2 and packing.lower_bound([10, 10], 10) == 2
+    assert packing.undominated({5: 1, 3: 1, 2: 2}, 5) == [(5,)]  # 3 and 2 fit into 5
 
 
 def test_bin_completion_beats_best_fit():
-    sizes = [6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2]  # fills 50 = 5 bins of 10
-    bins = packing.complete(sizes, 10)
-    assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and len(bins) == 5
-    assert all(sum(sizes[i] for i in b) <= 10 for b in bins)
-    assert packing.complete([], 10) == []
-    assert packing.lower_bound([6, 6, 6, 5, 5], 10) == 4 and packing.lower_bound([6, 6, 4, 4], 10) == 2 and packing.lower_bound([10, 10], 10) == 2
+    rng = np.random.default_rng(22)
+    for _ in range(4):  # triples that fill a bin
+        a = rng.integers(500, 900, 120)
+        b = rng.integers(500, 700, 120)
+        sizes = [int(x) for x in np.concatenate((a, b, 2048 - a - b))]
+        assert packed_well(sizes, 2048) < len(packing.best_fit(sizes, 2048))
+    for _ in range(4):
+        sizes = [int(x) for x in rng.integers(300, 1500, 400)]
+        assert packed_well(sizes, 2048) <= len(packing.best_fit(sizes, 2048))
 
 
 # 10 -----------------------------------------------------------------------------------------------
