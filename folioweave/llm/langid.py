@@ -2,11 +2,11 @@
 
 The network reads the bytes of each run of letters (cut every SPAN bytes) in both directions and labels every byte with
 language probabilities; a document's probabilities are the mean over all its letter bytes. It is trained in numpy by
-backpropagation through time on a bounded, documented sample of labelled documents (about TRAIN_DOCS for each language, WORDS
-runs of each). States start anew at each run, so equal runs have equal labels: a worker scores each distinct run once.
+backpropagation through time on a bounded, documented sample of labelled documents (about TRAIN_DOCS for each language, each distinct
+run of their whole texts once for each language). States start anew at each run, so equal runs have equal labels: a worker scores each distinct run once.
 
 Defined results: null text or one without a letter is ``und`` with score 0; with no labelled rows at all every text
-is ``und``. Ties go to the language that sorts first. Other columns are not read.
+is ``und``. Ties go to the language that sorts first. Other columns are not read; one named lang_pred or score gives way to the result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .text import LOWER, Growing, HashStore, Words, chunks
 
-TRAIN_DOCS, WORDS, SPAN = 1500, 24, 16
+TRAIN_DOCS, SPAN = 400, 16
 EMBED, HIDDEN = 10, 16
 #: Runs whose labels a worker keeps.
 KEPT = 1 << 20
@@ -209,8 +209,18 @@ def _predict(sent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in rest), pa.array(label, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each text with its label."""
+    for batch in batches:
+        for lo, hi, buf, off in chunks(batch.column(1)):
+            low, start, end, first = runs_in(buf, off)
+            runs = [sorted({low[start[i] : end[i]].tobytes() for i in range(a, b)}) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            label = batch.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), [len(r) for r in runs])))
+            yield pa.RecordBatch.from_arrays([label, pa.array([x for r in runs for x in r], pa.binary())], ["l", "run"])
+
+
 def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", order: Column | None = None) -> tuple[int, list[str], BiGRU | None]:
-    """(model id, languages, network) from about TRAIN_DOCS labelled documents of each language, WORDS runs of each.
+    """(model id, languages, network) from the whole texts of about TRAIN_DOCS labelled documents of each language.
 
     The hash ``order`` (of the text, unless given) picks the documents, so the sample is the same in every run.
     """
@@ -221,15 +231,10 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
         return 0, [], None
     place = F.pmod(F.xxhash64(F.col(text_col)) if order is None else order, F.lit(1 << 20))
     upto = F.coalesce(*(F.when(F.col(label_col) == name, F.lit(-(-TRAIN_DOCS * (1 << 20) // counts[name]))) for name in names))
-    picked = some.where(place < upto).select(F.col(label_col).cast("string").alias("l"), F.col(text_col).alias("x")).limit(2 * TRAIN_DOCS * len(names))
-    found: list[tuple[bytes, int]] = []
-    for batch in picked.toArrow().to_batches():
-        known = [names.index(x) for x in batch.column(0).to_pylist()]
-        for lo, _, buf, off in chunks(batch.column(1)):
-            low, start, end, first = runs_in(buf, off)
-            for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
-                for i in np.unique(np.linspace(a, b - 1, min(WORDS, b - a)).astype(int)) if b > a else ():
-                    found.append((low[start[i] : end[i]].tobytes(), known[lo + d]))
+    picked = some.where(place < upto).select(F.col(label_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("x")).limit(2 * TRAIN_DOCS * len(names))
+    # distinct runs of SPAN bytes at most: whole texts never reach the driver
+    pairs = picked.mapInArrow(_runs, "l string, run binary").distinct().toArrow()
+    found = list(zip(pairs.column("run").to_pylist(), (names.index(x) for x in pairs.column("l").to_pylist())))
     if not found:
         return 0, [], None
     found.sort()  # partitions come in any order
@@ -240,7 +245,7 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "lang",
 def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of docs (default all but the text), lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights
-    keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score") and (keep is not None or c != text_col)]
     fields = [docs.schema[c] for c in keep]
     plain = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("text"))
     shape = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string", "score double"])

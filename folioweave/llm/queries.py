@@ -51,7 +51,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = learn(docs, labels.where(_remainder(3) != 1), lang_col="lang")
-    return toxicity(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity(docs, model, lang_col="lang").select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted", "predicted_lang")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,6 +263,48 @@ def test_toxicity_learns_and_gradient_reaches_the_words(spark):
     assert {r["score"] for r in toxicity.toxicity(docs_of(spark, EDGE), none).collect()} == {0.0}
 
 
+def test_toxicity_features_equal_a_plain_convolution():
+    rng = np.random.default_rng(18)
+    texts = [rng.integers(0, 2**63, int(n)).astype(np.uint64) for n in (0, 1, 2, 9, 40)]
+    model = toxicity.Model(tags=np.zeros(toxicity.BUCKETS, np.uint32))
+    for t in texts:
+        model.tags[(t >> np.uint64(48)).astype(int)] = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    model.tables = {w: rng.normal(size=(w, toxicity.BUCKETS + 1, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS}
+    model.bias = rng.normal(size=(len(toxicity.WIDTHS), toxicity.FILTERS)).astype(np.float32)
+    ids = [model.ids(t) for t in texts]
+    got = model.features(np.concatenate(ids), np.concatenate(([0], np.cumsum([len(i) for i in ids]))))
+    for row, own in zip(got, ids):
+        for k, w in enumerate(toxicity.WIDTHS):
+            best = np.zeros(toxicity.FILTERS)
+            for a in range(len(own) - w + 1):
+                best = np.maximum(best, sum(model.tables[w][j][own[a + j]] for j in range(w)) + model.bias[k])
+            assert np.allclose(row[k * toxicity.FILTERS : (k + 1) * toxicity.FILTERS], best, atol=1e-5)
+
+
+def test_toxicity_thresholds_by_language(spark):
+    docs = docs_of(spark, ["a b"] * 3).withColumn("lang", F.array(F.lit("en"), F.lit("de"), F.lit(None).cast("string"))[F.col("doc_id").cast("int")])
+    model = toxicity.Model(prior=0.6, thresholds={"en": 0.5, "de": 0.65})
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, model, lang_col="lang").collect()}
+    assert [got[i]["predicted_lang"] for i in range(3)] == [1, 0, 0] and all(r["predicted"] == 0 for r in got.values())
+
+
+def test_names_that_clash_and_empty_tables(spark):
+    rng = np.random.default_rng(19)
+    names = ["id", "text_", "score", "lang_pred", "predicted", "mix_tokens", "mix_kept", "m0", "tokens", "place", "keys", "n", "print", "b", "kind", "chunk", "shard", "length", "held", "component_id"]
+    for texts in ([words(rng, 40) for _ in range(6)] + [None, ""], []):
+        docs = docs_of(spark, texts).withColumns({c: F.lit("x") for c in names})
+        labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+        results = [
+            feistel.pseudonymise(docs, "k"), minhash.near_duplicates(docs), substring.remove_repeats(docs), toxicity.toxicity(docs, toxicity.learn(docs, labels)),
+            pitmanyor.score(docs, F.col("doc_id") == 1), packing.pack(docs), langid.identify(docs, langid.learn(docs)), mixing.mix(docs, {"source": F.col("source"), "kept": F.col("mix_kept")}),
+        ]
+        for r in results:
+            assert len(r.select(*dict.fromkeys(r.columns)).collect()) == len(texts)
+        vec = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(len(texts))], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in names})
+        assert itq.near_vectors(vec).count() == len(texts)
+        assert nearest.top_inner_products(vec, F.col("vec_id") == 1, k=3).count() == (3 if texts else 0)
+
+
 def test_bigru_gradient():
     net = langid.BiGRU(3)
     ids, y = np.random.default_rng(0).integers(97, 105, (4, 5)).astype(np.uint8), np.array([0, 1, 2, 1])
@@ -525,6 +567,43 @@ def test_mixing_meets_targets_either_way(spark):
     other = {r["doc_id"]: r["mix_probability"] for r in ways[1]}
     assert all(math.isclose(r["mix_probability"], other[r["doc_id"]], rel_tol=1e-6, abs_tol=1e-9) for r in same)
     assert mixing.mix(docs_of(spark, []), margins).count() == 0
+    assert all(r["mix_kept"] for r in mixing.mix(df, {"topic": mixing.topic_of(F.col("text"))}, fraction=0.3).where("text is null").collect())
+
+
+def test_mixing_keeps_targets_when_strict_and_reports_contradictions(spark):
+    rng = np.random.default_rng(13)
+    df = docs_of(spark, [words(rng, 30) for _ in range(4000)]).withColumn("source", F.when(F.col("doc_id") < 3000, "big").otherwise("small"))
+    for cells in (1000, 0):
+        out = mixing.mix(df, {"source": F.col("source")}, {"source": {"big": 0.5, "small": 0.5}}, fraction=0.8, strict=True, cells_on_driver=cells)
+        got = {r["value"]: r for r in mixing.shares(out, "source").collect()}
+        assert abs(got["small"]["kept"] - 0.5) < 0.04 and math.isclose(got["small"]["aim"], 0.5, rel_tol=1e-6)
+        # kept by the stated rule
+        prob = {"big": 1 / 3, "small": 1.0}
+        assert all(math.isclose(r["mix_probability"], prob[r["source"]], rel_tol=1e-6) for r in out.limit(50).collect())
+    tied = df.withColumn("lang", F.col("source"))
+    with pytest.raises(ValueError, match="contradict"):
+        mixing.mix(tied, {"source": F.col("source"), "lang": F.col("lang")}, {"source": {"big": 0.5, "small": 0.5}, "lang": {"big": 0.9, "small": 0.1}})
+
+
+def test_raking_equals_a_plain_loop():
+    rng = np.random.default_rng(17)
+    tokens = rng.integers(1, 100, 12).astype(float)
+    codes, targets = [np.arange(12) % 3, np.arange(12) // 3], [np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.3, 0.4])]
+    w = [1.0] * 12
+    for _ in range(500):
+        for c, t in zip(codes, targets):
+            for v in range(len(t)):
+                now = sum(w[i] * tokens[i] for i in range(12) if c[i] == v)
+                for i in range(12):
+                    if c[i] == v:
+                        w[i] *= t[v] * tokens.sum() / now
+    assert np.allclose(mixing.rake(tokens, codes, targets), w, rtol=1e-8)
+    p = mixing.calibrated(tokens, np.array(w), 0.6)
+    lo, hi = 0.0, 1e6
+    for _ in range(200):
+        f = (lo + hi) / 2
+        lo, hi = (f, hi) if sum(t * min(1, f * x) for t, x in zip(tokens, w)) < 0.6 * tokens.sum() else (lo, f)
+    assert np.allclose(p, [min(1, lo * x) for x in w], rtol=1e-6)
 
 
 # pipeline -----------------------------------------------------------------------------------------
