@@ -4,7 +4,8 @@ Several orthogonal rotations are learnt (ITQ, each from another random start) on
 the rotated unit vectors are balanced binary codes. Each code is cut into substrings; a substring is one hash
 table, and two vectors meet where any substring is equal. The number of tables follows from the threshold: the chance
 that a pair at exactly the threshold meets in none is at most MISS. Pairs that meet are reranked by cosine in double
-precision, so no false link is made. A pair is counted only in the first table in which it meets (both codes are at
+precision, so no false link is made. The tables first hold ids and one packed code only: a vector with no other one of its
+bucket within the Hamming radius RADIUS ends there, and vectors travel to the buckets of the rest. A pair is counted only in the first table in which it meets (both codes are at
 hand there), so links are counted without ever being written as pairs; a bucket emits one row for each
 linked vector: its links there and the smallest id of its connected part of the bucket.
 
@@ -26,7 +27,19 @@ from pyspark.sql import functions as F
 from .nearest import matrix
 from .shared import Stage, connected_components
 
-SAMPLE, MISS, BUCKET, CODE_BITS = 20_000, 0.002, 2048, 64
+SAMPLE, MISS, BUCKET, CODE_BITS = 20_000, 0.0015, 2048, 64
+#: Chance that a pair at the threshold is further apart than the Hamming radius.
+FAR = 0.0005
+
+
+def radius_for(threshold: float, bits: int) -> int:
+    """The distance of two codes of so many bits that a pair at the threshold exceeds with a chance of FAR at most."""
+    p = math.acos(threshold) / math.pi
+    left, r = 1.0, -1
+    while left > FAR:
+        r += 1
+        left -= math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+    return r
 
 
 def learn_rotations(sample: np.ndarray, count: int, rounds: int = 30, seed: int = 7) -> np.ndarray:
@@ -62,6 +75,13 @@ def table_keys(m: np.ndarray, rotations: np.ndarray, key_bits: int, tables: int)
     return np.concatenate(out, 1)[:, :tables].astype(np.int32)
 
 
+def packed(projected: np.ndarray) -> np.ndarray:
+    """The signs of up to 64 columns as one number."""
+    bits = np.zeros((len(projected), 64), np.uint8)
+    bits[:, : projected.shape[1]] = projected > 0
+    return np.packbits(bits, 1).view(np.int64).ravel()
+
+
 def _rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rotations, key_bits, tables = model
     for batch in batches:
@@ -75,8 +95,8 @@ def _rows(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("id").take(pick), batch.column("n").take(pick),
              pa.array([(f if e else x).tobytes() for f, x, e in zip(narrow, m, exact)], pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()),
-             pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(keys.ravel()))],
-            ["id", "n", "vector", "codes", "keys"],
+             pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * tables, pa.int32()), pa.array(keys.ravel())), pa.array(packed(unit @ rotations[0]))],
+            ["id", "n", "vector", "codes", "keys", "code"],
         )
 
 
@@ -105,49 +125,81 @@ def _link_bucket(table: int, threshold: float, ids, n, m, keys, left: np.ndarray
     return ids[has], count[has].astype(np.int64), root[has]
 
 
-def _buckets(threshold: float, dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket; a bucket may span batches."""
+TILE_KEYS = ["t", "key", "i", "j"]
+
+
+def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """(rows, bounds of the tiles in them): rows come sorted by tile, and a tile may span batches."""
     held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        last = [batch.column(c)[-1].as_py() for c in TILE_KEYS]
+        if len(held) > 1 and last == [held[0].column(c)[0].as_py() for c in TILE_KEYS]:
+            continue  # still one tile
+        t = pa.Table.from_batches(held).combine_chunks()
+        # keep the last tile, which may go on
+        same = np.ones(t.num_rows, bool)
+        for c, v in zip(TILE_KEYS, last):
+            same &= t.column(c).to_numpy() == v
+        cut = int(np.argmax(same))
+        if cut:
+            yield bounded(t.slice(0, cut))
+        held = t.slice(cut).to_batches()
+    if held:
+        yield bounded(pa.Table.from_batches(held).combine_chunks())
+
+
+def bounded(t: pa.Table) -> tuple[pa.Table, list[int]]:
+    change = np.zeros(t.num_rows, bool)
+    change[:1] = True
+    for c in TILE_KEYS:
+        x = t.column(c).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return t, np.append(np.flatnonzero(change), t.num_rows).tolist()
+
+
+def _candidates(radius: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, key, id) of the rows that have another row of their tile within the radius."""
+    for t, at in tiles(batches):
+        code, part, i, j = (t.column(c).to_numpy() for c in ("code", "part", "i", "j"))
+        near = np.zeros(t.num_rows, bool)
+        for lo, hi in zip(at[:-1], at[1:]):
+            own = code[lo:hi].view(np.uint64)
+            left = np.flatnonzero(part[lo:hi] == i[lo])
+            right = np.flatnonzero(part[lo:hi] == j[lo])
+            for a in range(0, len(left), 512):
+                rows = left[a : a + 512]
+                close = np.bitwise_count(own[rows, None] ^ own[right]) <= radius
+                close &= rows[:, None] != right
+                near[lo + rows] |= close.any(1)
+                near[lo + right] |= close.any(0)
+        pick = pa.array(np.flatnonzero(near))
+        yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pick) for c in ("t", "key", "id")], ["t", "key", "id"])
 
-    def solve(t: pa.Table):
-        t = t.combine_chunks()
-        num = {c: t.column(c).to_numpy() for c in ("t", "key", "i", "j", "part", "id", "n")}
-        change = np.zeros(t.num_rows, bool)
-        change[:1] = True
-        for c in ("t", "key", "i", "j"):
-            change[1:] |= num[c][1:] != num[c][:-1]
-        at = np.append(np.flatnonzero(change), t.num_rows)
+
+def _buckets(threshold: float, dim: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t, at in tiles(batches):
+        num = {c: t.column(c).to_numpy() for c in ("t", "i", "j", "part", "id", "n")}
         raw = t.column("vector").to_pylist()
         vec = np.array([np.frombuffer(x, np.float64 if len(x) == 8 * dim else np.float32) for x in raw], np.float64)
         keys = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.int32).reshape(t.num_rows, -1)
         got = []
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        for lo, hi in zip(at[:-1], at[1:]):
             if hi - lo > 1:
                 left = num["part"][lo:hi] == num["i"][lo] if num["i"][lo] != num["j"][lo] else None
                 got.append(_link_bucket(int(num["t"][lo]), threshold, num["id"][lo:hi], num["n"][lo:hi], vec[lo:hi], keys[lo:hi], left))
         if got:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["id", "links", "root"])
 
-    for batch in batches:
-        held.append(batch)
-        t = pa.Table.from_batches(held)
-        last = [t.column(c)[-1] for c in ("t", "key", "i", "j")] if t.num_rows else None
-        if last is None:
-            continue
-        # keep the last bucket, which may go on
-        same = np.ones(t.num_rows, bool)
-        for c, v in zip(("t", "key", "i", "j"), last):
-            same &= t.column(c).to_numpy() == v.as_py()
-        cut = int(np.argmax(same))
-        if cut:
-            out = solve(t.slice(0, cut))
-            if out is not None:
-                yield out
-        held = t.slice(cut).to_batches()
-    if held:
-        out = solve(pa.Table.from_batches(held))
-        if out is not None:
-            yield out
+
+def dealt(keyed: DataFrame, stage: Stage) -> DataFrame:
+    """Rows with a column t and key, dealt into tiles: a bucket of over BUCKET rows is cut into parts, and each pair of parts is a tile."""
+    sizes = stage.table(keyed.groupBy("t", "key").count().where("count > 1").select("t", "key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")))
+    out = keyed.join(sizes.hint("merge"), ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return out.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -175,17 +227,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
         tables = tables_for(threshold, key_bits)
         per_code = min(CODE_BITS, dim) // key_bits
         model = (learn_rotations(sample, -(-tables // per_code)), key_bits, tables)
-        rows = own.select("id", "n", "embedding").mapInArrow(lambda it, m=model: _rows(m, it), "id long, n long, vector binary, codes binary, keys array<int>")
+        rows = own.select("id", "n", "embedding").mapInArrow(lambda it, m=model: _rows(m, it), "id long, n long, vector binary, codes binary, keys array<int>, code long")
         rows = stage.table(rows)
-        keyed = rows.select("id", "n", "vector", "codes", F.posexplode("keys").alias("t", "key"))
-        sizes = rows.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").count()
-        sizes = stage.table(sizes.where("count > 1").select("t", "key", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")))
-        # a bucket of over BUCKET vectors is dealt into parts, and each pair of parts is solved by itself
-        keyed = keyed.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        keyed = keyed.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other"))
-        tiles = keyed.select("t", "key", "i", "j", "part", "id", "n", "vector", "codes").repartition(F.col("t"), F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("t", "key", "i", "j")
-        some = stage.table(tiles.mapInArrow(lambda it, d=dim: _buckets(threshold, d, it), "id long, links long, root long"))
+        narrow = dealt(rows.select("id", "code", F.posexplode("keys").alias("t", "key")), stage)
+        radius = radius_for(threshold, min(CODE_BITS, dim))
+        narrow = narrow.repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS).select(*TILE_KEYS, "part", "id", "code")
+        active = stage.table(narrow.mapInArrow(lambda it, r=radius: _candidates(r, it), "t int, key int, id long").distinct())
+        wide = dealt(active, stage).join(rows.select("id", "n", "vector", "codes").hint("merge"), "id")
+        wide = wide.select(*TILE_KEYS, "part", "id", "n", "vector", "codes").repartition(*TILE_KEYS).sortWithinPartitions(*TILE_KEYS)
+        some = stage.table(wide.mapInArrow(lambda it, d=dim: _buckets(threshold, d, it), "id long, links long, root long"))
         found = some if found is None else found.union(some)
     if found is None:
         found = spark.createDataFrame([], "id long, links long, root long")

@@ -7,7 +7,7 @@ merges the tiles of a task; the heaps of all tasks are merged at the end.
 
 Defined results: vectors that are null, empty, zero, or with null or non-finite components take no part, rows with a null
 id neither; a query meets vectors of its own length only. Ties go to the smaller id. Of several rows with one id
-each is a candidate of its own, but a query never meets rows of its own id.
+each is a candidate of its own and, if it asks, has a ranking of its own, but a query never meets rows of its own id.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import Stage
 
-BLOCK, TILE = 8192, 1024
+#: Rows of a block at most, of a tile, and pairs whose vectors are gathered at once.
+BLOCK, TILE, PAIRS = 8192, 1024, 1 << 15
 
 
 def matrix(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def best_of(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
         if len(ids) > k:
             floor = np.maximum(floor, np.partition(low, len(ids) - k, 1)[:, len(ids) - k])
         row, col = np.nonzero((approx + bound >= floor[:, None]) & ~own)
-        score = inner_products(q[row], part[col])
+        score = np.concatenate([np.zeros(0), *(inner_products(q[row[x : x + PAIRS]], part[col[x : x + PAIRS]]) for x in range(0, len(row), PAIRS))])
         rows = np.concatenate((np.repeat(np.arange(len(q)), k), row))
         scores = np.concatenate((heap.ravel(), score))
         all_ids = np.concatenate((heap_id.ravel(), ids[col]))
@@ -131,7 +132,8 @@ def _search(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for lo in range(0, len(q), TILE):  # bounds the tile's memory
                 own = qid[lo : lo + TILE]
                 row, near, score = best_of(own, q[lo : lo + TILE], cid, c, k)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(near), pa.array(score)], ["query_id", "vec_id", "score"])
+                at = pa.array(np.full(len(row), r["at"]))
+                yield pa.RecordBatch.from_arrays([at, pa.array(lo + row), pa.array(own[row]), pa.array(near), pa.array(score)], ["at", "row", "query_id", "vec_id", "score"])
 
 
 def top_inner_products(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -143,18 +145,23 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 20, id_col: str =
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("q"))
     counted = rows.agg(F.count("*"), F.count_if("q")).first()
-    n_blocks, n_query = max(1, -(-counted[0] // BLOCK)), max(1, -(-counted[1] // BLOCK))
+    # blocks small enough that their pairs keep all cores busy
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    block = int(min(BLOCK, max(TILE, -(-counted[0] // (2 * cores)))))
+    n_blocks, n_query = max(1, -(-counted[0] // block)), max(1, -(-counted[1] // block))
     shape = "ids binary, matrix binary, dim int"
 
     def blocks(of: DataFrame, n: int) -> DataFrame:
         dealt = of.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)))
-        return dealt.groupBy("block", F.size("embedding")).applyInArrow(_as_table, shape)
-
-    asked = stage.table(blocks(rows.where("q"), n_query))
-    asked = stage.table(asked.select(F.monotonically_increasing_id().alias("at"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "dim"))))
-    at = F.lit([r[0] for r in asked.select("at").collect()] or [-1])  # block numbers only: one for each BLOCK queries
-    pairs = blocks(rows, n_blocks).withColumn("at", F.explode(at)).join(asked, "at")
-    found = pairs.drop("at").mapInArrow(lambda it: _search(k, it), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return stage.table(dealt.groupBy("block", F.size("embedding")).applyInArrow(_as_table, shape)).withColumn("no", F.monotonically_increasing_id())
+
+    asked, every = stage.table(blocks(rows.where("q"), n_query)), stage.table(blocks(rows, n_blocks))
+    asked = asked.select(F.col("no").alias("at"), *(F.col(c).alias(f"q_{c}") for c in ("ids", "matrix", "dim")))
+    # block numbers only, one for each block of rows
+    at, no = (F.lit([r[0] for r in t.collect()] or [-1]) for t in (asked.select("at"), every.select("no")))
+    # each pair of blocks has a key of its own, so the pairs are dealt to all tasks
+    pairs = every.withColumn("at", F.explode(at)).join(asked.withColumn("no", F.explode(no)).hint("shuffle_hash"), ["no", "at"])
+    found = pairs.mapInArrow(lambda it: _search(k, it), "at long, row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "at", "row").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

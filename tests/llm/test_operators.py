@@ -90,6 +90,37 @@ def test_itq_finds_all_links(spark):
     assert itq.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [64, 256])
+def test_itq_finds_planted_links(spark, dim, monkeypatch):
+    """Pairs at cosines just above the threshold; buckets that are cut into parts; repeated ids, null ids, huge numbers."""
+    monkeypatch.setattr(itq, "BUCKET", 32)
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(600, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cos = rng.uniform(0.9005, 0.99, 600)
+    near = cos[:, None] * base + np.sqrt(1 - cos**2)[:, None] * other
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((base, near)))]
+    rows += [(None, rows[0][1]), (5000, [1e150 * x for x in rows[1][1]]), (5000, rows[2][1])]
+    got = itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["vec_id"], []).append(r)
+    assert sum(by[i + 600][0]["component_id"] == min(i, 600) for i in range(600)) >= 597
+    assert by[None][0]["kept"] and by[None][0]["n_links"] == 0
+    assert len(by[5000]) == 2 and {r["component_id"] for r in by[5000]} <= {1, 2} and all(r["n_links"] >= 1 for r in by[5000])
+    assert len(got) == len(rows)
+
+
+def test_hamming_radius():
+    p, bits = math.acos(0.9) / math.pi, 64
+    r = itq.radius_for(0.9, bits)
+    tail = lambda r: sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(r + 1, bits + 1))
+    assert tail(r) <= itq.FAR < tail(r - 1)
+
+
 def test_itq_codes_are_balanced():
     sample = np.random.default_rng(0).normal(size=(2000, 16))
     (r,) = itq.learn_rotations(sample, 1)
@@ -111,6 +142,13 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert nearest.top_inner_products(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_ties_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PAIRS", 100)
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(0, [2.0, 1.0]), (None, [9.0, 9.0])]
+    got = nearest.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()
+    assert sorted((r["score"], r["vec_id"], r["rank"]) for r in got) == [(4.0, i, i) for i in (1, 2, 3)] + [(5.0, i, i) for i in (1, 2, 3)]
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 
