@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .nearest import matrix
 from .shared import Stage, connected_components
 
-SAMPLE, MISS, BUCKET, CODE_BITS = 20_000, 0.0015, 2048, 64
+SAMPLE, MISS, BUCKET, CODE_BITS = 20_000, 0.0015, 1024, 64
 #: Chance that a pair at the threshold is further apart than the Hamming radius.
 FAR = 0.0005
 

@@ -40,7 +40,7 @@ from .text import Words, chunks, mix
 
 #: Tokens in a block of pairs, and most contexts that are spread over blocks.
 BLOCK, SPLIT = 1 << 20, 1 << 20
-EXACT, BURN, SAMPLES = 64, 3, 3
+EXACT, BURN, SAMPLES = 64, 2, 3
 #: Tokens and texts that a worker gathers before it hands them on.
 FLUSH, TEXTS = 1 << 20, 1 << 16
 #: Scoring takes the blocks in so many rounds, each a pass over the texts, so that fewer pairs are on disk at once.
