@@ -6,13 +6,18 @@ one, and the result is valid again:
 
 card         13 to 19 digits with a Luhn check digit, single blanks or hyphens between groups: all digits but the last
              are permuted, the check digit is set anew, separators stay
-phone        +1 (ddd) ddd-dddd and the like with a leading + or a bracketed area code: the last seven digits are permuted
+phone        +1 (ddd) ddd-dddd and the like with a leading + or a bracketed area code, and ddd-ddd-dddd or ddd.ddd.dddd: the last
+             seven digits are permuted, by a permutation of the digits before them
 social       ddd-dd-dddd inside the issued ranges: permuted inside them
 ip           dotted quad of octets: 32 bits permuted
-date         yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy that the calendar knows, 1900-01-01 to 2101-01-25: the day number is permuted
+date         yyyy-mm-dd, dd/mm/yyyy and dd.mm.yyyy that the calendar knows, 1900-01-01 to 2101-01-25: the day number is permuted;
+             mm/dd/yyyy of the years 1900 to 2100 with a day over 12 (so that it can't be read as dd/mm): permuted among its
+             like, days to 28 over all months, later ones over the months of equal length (29 February stays)
 iban         two letters, two check digits, 11 to 30 letters or digits that pass mod 97: the digits are permuted, the check digits set anew
 email        the letters and digits before the @ are permuted inside their own classes
 
+Each round's function is SHA-256 under the key, cut to 60 bits. Equal values are meant to stay equal, so frequencies remain visible.
+
 A number of a card's length without a valid check digit is no card and stays.
 
 Everything else in a text is copied byte for byte. Defined results: null text stays null, a text without matches is returned
@@ -22,13 +27,15 @@ internal names) pass through untouched.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"
-PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z.+-])(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z]|[.-][0-9])|(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,4}(?![0-9])"
 SOCIAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP = rf"(?<![0-9A-Za-z.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
@@ -43,21 +50,28 @@ HINT = r"[0-9][ ).-]?[ ]?[0-9]|@"
 
 
 def _keyed(key: str, *parts: Column | str | int) -> Column:
-    """A non-negative keyed 63-bit hash."""
-    return F.xxhash64(F.lit(key), *(p if isinstance(p, Column) else F.lit(p) for p in parts)).bitwiseAND(F.lit((1 << 63) - 1))
+    """A number below 2^60: a cut SHA-256 of a block made from the key, and the parts."""
+    block = hashlib.sha256(key.encode()).hexdigest()  # as long as a block of the hash
+    message = F.concat_ws("|", F.lit(block), *((p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts))
+    return F.conv(F.substring(F.sha2(message, 256), 1, 15), 16, 10).cast("long")
 
 
-def permuted(left: Column, right: Column, a: Column | int, b: Column | int, key: str) -> tuple[Column, Column]:
-    """Feistel network over pairs of Z_a x Z_b (bigint columns): each round adds a keyed function of one half to the other."""
+def permuted(left: Column, right: Column, a: Column | int, b: Column | int, key: str, tweak: Column | str = "") -> tuple[Column, Column]:
+    """Feistel network over pairs of Z_a x Z_b (bigint columns): each round adds a keyed function of one half, and of the tweak, to the other."""
     a, b = (x if isinstance(x, Column) else F.lit(x).cast("long") for x in (a, b))
     # a one-element transform binds each round's value, so that expressions don't double from round to round
     state = F.array(F.struct(left.cast("long").alias("l"), right.cast("long").alias("r")))
     for i in range(0, ROUNDS, 2):
-        state = F.transform(state, lambda s, i=i: F.struct(F.pmod(s.l + F.pmod(_keyed(key, i, s.r), a), a).alias("l"), s.r.alias("r")))
-        state = F.transform(state, lambda s, i=i: F.struct(s.l.alias("l"), F.pmod(s.r + F.pmod(_keyed(key, i + 1, s.l), b), b).alias("r")))
+        state = F.transform(state, _round(lambda s, i: F.struct(F.pmod(s.l + F.pmod(_keyed(key, i, tweak, s.r), a), a).alias("l"), s.r.alias("r")), i))
+        state = F.transform(state, _round(lambda s, i: F.struct(s.l.alias("l"), F.pmod(s.r + F.pmod(_keyed(key, i, tweak, s.l), b), b).alias("r")), i + 1))
     return state[0].l, state[0].r
 
 
+def _round(step, i: int):
+    """A step of one argument: a second one would be taken for the element's index."""
+    return lambda s: step(s, i)
+
+
 def _digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
@@ -66,12 +80,12 @@ def _padded(n: Column, width: Column | int) -> Column:
     return F.lpad(n.cast("string"), width, "0")
 
 
-def digits_permuted(d: Column, key: str) -> Column:
+def digits_permuted(d: Column, key: str, tweak: Column | str = "") -> Column:
     """A string of 2 to 36 digits, permuted among those of its length."""
     n = F.length(d)
     h = F.floor(n / 2).cast("int")
     a, b = F.pow(F.lit(10.0), h).cast("long"), F.pow(F.lit(10.0), n - h).cast("long")
-    left, right = permuted(F.substring(d, F.lit(1), h).cast("long"), F.substring(d, h + 1, n).cast("long"), a, b, key)
+    left, right = permuted(F.substring(d, F.lit(1), h).cast("long"), F.substring(d, h + 1, n).cast("long"), a, b, key, tweak)
     return F.concat(_padded(left, h), _padded(right, n - h))
 
 
@@ -104,7 +118,7 @@ def _card(v: Column, key: str) -> Column:
 def _phone(v: Column, key: str) -> Column:
     d = _digits(v)
     head = F.substring(d, F.lit(1), F.length(d) - 7)
-    return F.when(F.length(d).between(10, 15), refilled(v, F.concat(head, digits_permuted(F.right(d, F.lit(7)), key + "phone")))).otherwise(v)
+    return F.when(F.length(d).between(10, 15), refilled(v, F.concat(head, digits_permuted(F.right(d, F.lit(7)), key + "phone", head)))).otherwise(v)
 
 
 def _social(v: Column, key: str) -> Column:
@@ -136,7 +150,23 @@ def _date(v: Column, key: str) -> Column:
     left, right = permuted(F.floor(n / DAYS_B).cast("long"), F.pmod(n, F.lit(DAYS_B)), DAYS_A, DAYS_B, key + "date")
     new = F.date_add(origin, (left * DAYS_B + right).cast("int"))
     out = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(mark == "/", F.date_format(new, "dd/MM/yyyy")).otherwise(F.date_format(new, "dd.MM.yyyy"))
-    return F.when(n.between(0, DAYS_A * DAYS_B - 1), out).otherwise(v)
+    return F.when(n.between(0, DAYS_A * DAYS_B - 1), out).when(n.isNull() & (mark == "/"), _month_first(v, key)).otherwise(v)
+
+
+#: (months, first day, days) that dates written month first are permuted among.
+MONTH_FIRST = [(list(range(1, 13)), 13, 16), ([1, 3, 5, 7, 8, 10, 12], 29, 3), ([4, 6, 9, 11], 29, 2)]
+
+
+def _month_first(v: Column, key: str) -> Column:
+    month, day, year = (F.substring(v, i, n).cast("long") for i, n in ((1, 2), (4, 2), (7, 4)))
+    out = F.lit(None).cast("string")
+    for i, (months, first, days) in enumerate(MONTH_FIRST):
+        of = F.array(*map(F.lit, months))
+        at = F.array_position(of, month.cast("int"))
+        left, right = permuted((year - 1900) * len(months) + at - 1, day - first, 201 * len(months), days, f"{key}month{i}")
+        new = F.concat_ws("/", _padded(F.element_at(of, (F.pmod(left, F.lit(len(months))) + 1).cast("int")), 2), _padded(right + first, 2), (F.floor(left / len(months)) + 1900).cast("string"))
+        out = F.when((at > 0) & day.between(first, first + days - 1), new).otherwise(out)
+    return F.when(year.between(1900, 2100), out)
 
 
 def _mod97(s: Column) -> Column:
@@ -172,8 +202,8 @@ def _email(v: Column, key: str) -> Column:
 
     state = F.array(F.struct(F.substring(local, F.lit(1), h).alias("l"), F.substring(local, h + 1, n).alias("r")))
     for i in range(0, 4, 2):
-        state = F.transform(state, lambda s, i=i: F.struct(shifted(s.l, s.r, i).alias("l"), s.r.alias("r")))
-        state = F.transform(state, lambda s, i=i: F.struct(s.l.alias("l"), shifted(s.r, s.l, i + 1).alias("r")))
+        state = F.transform(state, _round(lambda s, i: F.struct(shifted(s.l, s.r, i).alias("l"), s.r.alias("r")), i))
+        state = F.transform(state, _round(lambda s, i: F.struct(s.l.alias("l"), shifted(s.r, s.l, i).alias("r")), i + 1))
     return F.concat(state[0].l, state[0].r, F.substring(v, n + 1, F.length(v)))
 
 
@@ -189,7 +219,7 @@ def pseudonym(v: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with its text column rewritten; ``count_col`` (optional) gets the number of values replaced."""
+    """docs with its text column rewritten; ``count_col`` (optional) gets the number of values replaced, in place of a column of that name."""
     text = F.col(text_col)
     parts = F.split(text, ANY, -1)
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -197,7 +227,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     woven = F.zip_with(parts, F.concat(changed, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     maybe = text.rlike(HINT)
     new = F.when(maybe, F.concat_ws("", woven)).otherwise(text)
-    columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c != count_col]
     if count_col:
         n = F.when(maybe, F.size(F.filter(F.arrays_zip(found.alias("v"), changed.alias("w")), lambda x: x["v"] != x["w"]))).otherwise(F.lit(0))
         columns.append(F.coalesce(n, F.lit(0)).cast("long").alias(count_col))

@@ -52,6 +52,48 @@ def test_feistel_keeps_formats_and_links(spark):
     assert [t for t, _ in out[4:]] == EDGE
 
 
+def twin(d, key, tweak=""):
+    """The permutation of a string of digits in plain Python, and its inverse."""
+    f = lambda i, x: int(hashlib.sha256("|".join([hashlib.sha256(key.encode()).hexdigest(), str(i), tweak, str(x)]).encode()).hexdigest()[:15], 16)
+    h = len(d) // 2
+    a, b = 10**h, 10 ** (len(d) - h)
+    x, y = int(d[:h]), int(d[h:])
+    for i in range(0, feistel.ROUNDS, 2):
+        x = (x + f(i, y)) % a
+        y = (y + f(i + 1, x)) % b
+    u, v = x, y
+    for i in reversed(range(0, feistel.ROUNDS, 2)):
+        v = (v - f(i + 1, u)) % b
+        u = (u - f(i, v)) % a
+    assert (u, v) == (int(d[:h]), int(d[h:]))
+    return f"{x:0{h}d}{y:0{len(d) - h}d}"
+
+
+def mod97(s):
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_feistel_equals_its_twin(spark):
+    rng = np.random.default_rng(23)
+    values = ["".join(map(str, rng.integers(0, 10, n))) for n in (2, 7, 15, 18, 19) for _ in range(5)]
+    df = spark.createDataFrame([(v,) for v in values], "d string").select("d", feistel.digits_permuted(F.col("d"), "k", "t").alias("e"))
+    assert all(r["e"] == twin(r["d"], "k", "t") for r in df.collect())
+    bban = "00370400440532013000"[2:]
+    iban = f"DE{98 - int(bban + '131400') % 97:02d}{bban}"
+    assert mod97(iban) == 1
+    texts = ["555-123-4567 and 555.123.4567 or +1 555 123 4567", "on 12/25/2020, 25/12/2020, 08/31/1999 and 02/29/2000", f"pay {iban} or {iban[:4]} {iban[4:8]} {iban[8:12]} {iban[12:16]} {iban[16:20]} {iban[20:]}", "no 12-34-56 or 99/99/2020"]
+    out = [r["text"] for r in feistel.pseudonymise(docs_of(spark, texts), "k").orderBy("doc_id").collect()]
+    last = twin("1234567", "kphone", "555")
+    assert out[0].startswith(f"555-{last[:3]}-{last[3:]} and 555.{last[:3]}.{last[3:]} or +1 555 ")
+    us, eu, end, leap = re.findall(r"\d\d/\d\d/\d{4}", out[1])
+    assert 13 <= int(us[3:5]) <= 28 and us != "12/25/2020" and eu != "25/12/2020" and int(eu[3:5]) <= 12 and int(end[3:5]) >= 29 and leap == "02/29/2000"
+    plain, spaced = re.fullmatch(r"pay (\w+) or ([\w ]+)", out[2]).groups()
+    assert mod97(plain) == 1 and plain != iban and spaced.replace(" ", "") == plain and out[3] == texts[3]
+    days = spark.range(28).select(F.concat(F.lit("03/"), F.lpad((F.col("id") + 1).cast("string"), 2, "0"), F.lit("/2001")).alias("text"))
+    got = [r["text"] for r in feistel.pseudonymise(days, "k").collect()]
+    assert len(set(got)) == 28
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     assert df.select(feistel.digits_permuted(F.col("d"), "k").alias("e")).where("e rlike '^[0-9]{3}$'").distinct().count() == 1000
