@@ -131,15 +131,17 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.reachable_files(build(documents), ["/corpus/d1.md"], documents.select("path"))
 
 
-@registered(f""", walk AS (SELECT CAST(40 AS BIGINT) AS i, [CAST(40 AS BIGINT)] AS path, 0 AS step
-  UNION ALL SELECT e.j, list_append(path, e.j), step + 1 FROM walk JOIN edges e ON e.i = walk.i
-  WHERE NOT list_contains(path, e.j) AND walk.i <> 0 AND step < 7),
-done AS (SELECT path, array_to_string([{uri('x')} for x in path], ' > ') AS path_id FROM walk WHERE i = 0),
+@registered(f""", inc AS (SELECT DISTINCT i, j, type FROM dirs WHERE type = 'include'),
+walk AS (SELECT CAST(398 AS BIGINT) AS i, [CAST(398 AS BIGINT)] AS path FROM n
+  UNION ALL SELECT e.j, list_append(path, e.j) FROM walk JOIN inc e ON e.i = walk.i WHERE NOT list_contains(path, e.j) AND walk.i <> 1),
+done AS (SELECT path, array_to_string([{uri('x')} for x in path], ' > ') AS path_id FROM walk WHERE i = 1),
 steps AS (SELECT path_id, path, unnest(range(len(path))) AS step FROM done)
 SELECT path_id, CAST(step AS INTEGER) AS step, {uri('path[step + 1]')} AS uri, e.type AS edge_type
-FROM steps LEFT JOIN edges e ON step > 0 AND e.i = path[step] AND e.j = path[step + 1]""")
+FROM steps LEFT JOIN inc e ON step > 0 AND e.i = path[step] AND e.j = path[step + 1]""")
 def explain_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.explain(corpus_graph(spark, sf_dir), node(40), node(0), max_hops=7)
+    """All simple paths over include edges, of any length."""
+    graph = corpus_graph(spark, sf_dir)
+    return traverse.explain(Graph(graph.sections, graph.directives.where("type = 'include'"), graph.problems), node(398), node(1))
 
 
 def _tree_sql(src: str, dst: str) -> str:
@@ -170,41 +172,15 @@ def include_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.include_cycles(corpus_graph(spark, sf_dir))
 
 
-COMPOSED = """, own AS (SELECT d.i, repeat('#', 1) AS mark, concat_ws(chr(10), '', '```yaml', 'section: d' || i, 'title: Document ' || i, 'lang: ' || lang,
-  'source: ' || source, 'status: ' || status, 'owner: ' || owner, 'priority: ' || (i % 7),
-  'reviewed: ' || CASE WHEN i % 2 = 0 THEN 'true' ELSE 'false' END, 'created: 2024-01-' || lpad(CAST(i % 28 + 1 AS VARCHAR), 2, '0'),
-  'tags: [' || lang || ', ' || source || ']', 'limits: {retries: ' || (i % 9) || ', mode: strict}',
-  CASE WHEN i % 5 = 0 THEN 'schema: schema.json' END, '```', '',
-  (SELECT '[@ref: next](d' || j || '.md#d' || j || ')' FROM dirs WHERE dirs.i = d.i AND ord = 0)) AS tail FROM d),
-walk AS (SELECT i AS root, i, 1 AS lvl, CAST([] AS INTEGER[]) AS key, [i] AS path FROM d
-  UNION ALL SELECT root, x.j, lvl + 1, list_append(key, x.ord), list_append(path, x.j)
-  FROM walk JOIN dirs x ON x.i = walk.i AND x.type = 'include', n WHERE NOT list_contains(path, x.j) AND x.j < n.n),
-text AS (SELECT root, string_agg(repeat('#', lvl) || ' Doc ' || walk.i || chr(10) || tail, chr(10) ORDER BY key) AS content
-  FROM walk JOIN own ON own.i = walk.i GROUP BY root)
-"""
-
-
-@registered(COMPOSED + f"SELECT {uri('root')} AS root, sha256(content) AS digest, length(content) AS size FROM text")
-def compose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, _ = compose.compose(corpus_graph(spark, sf_dir, body=False))
-    return text.select("root", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("size"))
-
-
-@registered(COMPOSED + f"SELECT {uri('root')} AS root, sha256(content[:400]) AS digest, CAST(length(content[:400]) // 4 AS BIGINT) AS token_estimate, length(content) > 400 AS truncated FROM text")
-def context_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compose.context_compose(corpus_graph(spark, sf_dir, body=False), token_limit=100)
-    return out.select("root", F.sha2("content", 256).alias("digest"), F.col("token_estimate").cast("long").alias("token_estimate"), "truncated")
-
-
 @registered(None)
-def compose_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """compose_text over whole texts; SQL would hold each composed text several times, so there is none."""
+def compose_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts; SQL would hold each composed text several times, so there is none."""
     text, _ = compose.compose(corpus_graph(spark, sf_dir))
     return text.select("root", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("size"))
 
 
 @registered(None)
-def context_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compose.context_compose(corpus_graph(spark, sf_dir), token_limit=1000)
     return out.select("root", F.sha2("content", 256).alias("digest"), F.col("token_estimate").cast("long").alias("token_estimate"), "truncated")
 
@@ -248,7 +224,7 @@ def workflow_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("""SELECT 'schema_validation_error' AS type, uri, '/corpus/schema.json' AS schema_path, CASE WHEN i % 7 = 6 THEN 'priority' ELSE 'status' END AS path,
-CASE WHEN i % 7 = 6 THEN 'priority breaks maximum 5' ELSE 'status must be one of [''todo'', ''doing'', ''done'']' END AS detail
+CASE WHEN i % 7 = 6 THEN 'priority fails maximum 5' ELSE 'status fails enum [''todo'', ''doing'', ''done'']' END AS detail
 FROM d WHERE i % 5 = 0 AND (i % 7 = 6 OR i % 4 = 3)""")
 def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = validate.schema_findings(corpus_graph(spark, sf_dir), {"/corpus/schema.json": SCHEMA})

@@ -21,9 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The DataFrame written as Parquet and read again: its lineage is cut, and a lost executor loses nothing."""
+    """The DataFrame written as Parquet and read again: its lineage is cut, and a lost executor loses nothing.
+
+    The files are deleted when the session's JVM ends.
+    """
     at = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

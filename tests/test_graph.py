@@ -214,3 +214,18 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         ingest(spark, str(root), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
     assert current(spark, str(tmp_path / "t")).count() == 1
+
+
+def test_width_of_a_first_number():
+    from folioweave.operators.next_id import width_of
+
+    assert [width_of(p) for p in (r"d(\d+)", r"d(\d{4})", r"(\d\d)", "d", r"(\d{2,5})", r"(\d{2,})")] == [1, 4, 2, 3, 2, 1]
+
+
+def test_directive_labels_and_include_lines():
+    from folioweave.operators.sections import directive_of, include_of
+
+    assert directive_of("@ref: a: b") == ("ref", "a: b") and directive_of("@query") == ("query", "")
+    assert directive_of("ref: a") is None and directive_of("@refer") is None
+    assert include_of("[@include: x](a.md#b)") == "a.md#b" and include_of("[@include](a.md)") == "a.md"
+    assert all(include_of(x) is None for x in ("[@ref: x](a.md)", "[@include: x](a.md) more", "[@include: a]b](c.md)", "", "[x]"))
