@@ -19,12 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import trimmed
 from .text import LOWER, Growing, HashStore, Words, chunks
 
 TRAIN_DOCS, SPAN = 400, 16
 EMBED, HIDDEN = 10, 16
 #: Runs whose labels a worker keeps.
-KEPT = 1 << 20
+KEPT = 1 << 18
 #: Every byte that is no letter of ASCII and no part of a longer UTF-8 sequence parts the runs.
 GAP = np.ones(256, bool)
 GAP[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -249,5 +250,5 @@ def identify(docs: DataFrame, model, text_col: str = "text", keep: list[str] | N
     fields = [docs.schema[c] for c in keep]
     plain = docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").cast("string").alias("text"))
     shape = ", ".join([*(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "lang_pred string", "score double"])
-    out = plain.mapInArrow(lambda it: _predict(sent, it), shape)
+    out = plain.mapInArrow(lambda it: trimmed(_predict(sent, it)), shape)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stage, connected_components
+from .shared import Stage, connected_components, trimmed
 from .text import Words, chunks, mix, shingle_sets
 
 BINS, ROWS = 128, 4
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     stage = Stage(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    every = stage.table(texts.mapInArrow(lambda it: _signatures(k, it), "id long, n_shingles long, print binary, bands array<long>"))
+    every = stage.table(texts.mapInArrow(lambda it: trimmed(_signatures(k, it)), "id long, n_shingles long, print binary, bands array<long>"))
     some = every.where("n_shingles > 0 and id is not null")
     classes = stage.table(some.groupBy("print").agg(F.min("id").alias("id"), F.min("n_shingles").alias("size")))
     one = some.join(classes.select("print", "id"), ["print", "id"], "left_semi")
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = stage.table(member.where("id <> c").where(fits(F.col("size"), F.col("cs"))).select("c", F.col("id").alias("m")).distinct())
     # always a merge join: the ids grow with the documents, so a broadcast that holds at one size fails at the next
     wanted = member.select("id").distinct()
-    sets = stage.table(texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(lambda it: _sets(k, it), "id long, shingles array<long>"))
+    sets = stage.table(texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(lambda it: trimmed(_sets(k, it)), "id long, shingles array<long>"))
 
     def confirmed(edges: DataFrame) -> DataFrame:
         m = edges.join(sets.select(F.col("id").alias("m"), F.col("shingles").alias("sm")).hint("merge"), "m")
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = rest.join(stage.table(marks).hint("merge"), "id").withColumn("p", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rest = rest.select("key", "id", "k", "size", "sketch", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
     rest = rest.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "k", "size", "sketch")
-    third = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: _settled(percent, it), "c long, m long")
+    third = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda it: trimmed(_settled(percent, it)), "c long, m long")
     third = stage.table(third.distinct().join(first.union(second.select("c", "m")), ["c", "m"], "left_anti"))
     more_links = stage.table(confirmed(third))
     if not more_links.isEmpty():

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def trimmed(batches: Iterator) -> Iterator:
+    """The batches; after the last one the worker gives memory back that it no longer needs, since it stays alive beside later stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _local_roots: dict[str, str] = {}
 
 
