@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import io
 import posixpath
+import secrets
 import zipfile
+from datetime import date
 from typing import Any
 
 import yaml
@@ -54,11 +56,28 @@ def sign(files: dict[str, bytes]) -> dict[str, Any]:
     return {"version": "1", "policy": "checksum-only", "algorithm": "sha256", "scope": "file_contents_relative_paths_deterministic_order", "files": rows, "digest": hashlib.sha256(payload.encode()).hexdigest()}
 
 
+#: Folders of languages in a package, looked through before its root.
+LANGUAGES = ("en", "pt_br")
+
+
+def absent(files: dict[str, bytes]) -> list[str]:
+    """Paths that the manifest names (templates of files, instructions) and the package doesn't hold in any language."""
+    spec = manifest(files)
+    named = [f.get("template") if isinstance(f, dict) else None for f in spec.get("files") or []] + list(spec.get("instructions") or [])
+    if not all(isinstance(p, str) for p in named):
+        raise PackageError("files need a template and a target, instructions are paths")
+    folders = {p.rsplit("/", i)[0] for p in files for i in range(1, p.count("/") + 1)}
+    return [p for p in named if not any(at in files or at in folders for at in (f"{g}/{safe(p)}" if g else p for g in (*LANGUAGES, "")))]
+
+
 def pack(files: dict[str, bytes]) -> bytes:
     """A zip that is the same for the same files: sorted entries, one date, one mode."""
     if MANIFEST not in files:
         raise PackageError(f"a package needs {MANIFEST}")
     own = {safe(p): c for p, c in files.items() if p != SIGNATURE}
+    missing = absent(own)
+    if missing:
+        raise PackageError(f"the manifest names what is not there: {', '.join(missing)}")
     own[SIGNATURE] = yaml.safe_dump(sign(own), sort_keys=False).encode()
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -95,8 +114,11 @@ def manifest(files: dict[str, bytes]) -> dict[str, Any]:
     return value
 
 
-def instantiate(files: dict[str, bytes], values: dict[str, Any], lang: str = "en") -> dict[str, str]:
-    """Rendered text by target path. Given values win over the manifest's defaults; a required variable without one is an error."""
+def instantiate(files: dict[str, bytes], values: dict[str, Any], lang: str = "en", today: date | None = None) -> dict[str, str]:
+    """Rendered text by target path. Given values win over the manifest's defaults; a required variable without one is an error.
+
+    created_at and updated_at are today's date where neither gives them.
+    """
     spec, scope = manifest(files), {}
     for v in spec.get("variables") or []:
         given = values.get(v["name"], v.get("default"))
@@ -104,6 +126,8 @@ def instantiate(files: dict[str, bytes], values: dict[str, Any], lang: str = "en
             raise PackageError(f"variable {v['name']!r} is required")
         scope[v["name"]] = "" if given is None else given
     scope.update(values)
+    for name in ("created_at", "updated_at"):
+        scope.setdefault(name, (today or date.today()).isoformat())
     out = {}
     for f in spec.get("files") or []:
         source = next((p for p in (f"{lang}/{f['template']}", f["template"], f"en/{f['template']}") if p in files), None)
@@ -112,3 +136,23 @@ def instantiate(files: dict[str, bytes], values: dict[str, Any], lang: str = "en
         text = files[source].decode()
         out[safe(render(f["target"], scope))] = final_newline(render(text, scope) if source.endswith((".j2", ".jinja")) else text)
     return out
+
+
+def discover(folder: dict[str, dict[str, bytes]]) -> list[tuple[str, str, str]]:
+    """(name, folder, description) of the packages in files by folder, in the order of their folders; a manifest that can't be read leaves the folder's name."""
+    out = []
+    for at, files in sorted(folder.items()):
+        if MANIFEST in files:
+            try:
+                spec = yaml.safe_load(files[MANIFEST]) or {}
+            except yaml.YAMLError:
+                spec = {}
+            spec = spec if isinstance(spec, dict) else {}
+            out.append((str(spec.get("name", at)), at, str(spec.get("description", ""))))
+    return out
+
+
+def phrase(words: int = 5) -> str:
+    """Random words of two or three syllables."""
+    syllables = [c + v for c in "bdfgklmnprstv" for v in "aeiou"]
+    return " ".join("".join(secrets.choice(syllables) for _ in range(2 + secrets.randbelow(2))) for _ in range(words))

@@ -54,14 +54,16 @@ def _check_batches(schemas: dict[str, str | None], batches: Iterator[pd.DataFram
                     raise js.Invalid("schema_validation_error", ["schema"], "the schema reference must be a string")
                 if loaded.get(where) is None:
                     raise js.Invalid("schema_unreachable_uri" if re.match("https?://", where) else "schema_not_found", ["schema"], f"no schema at {where}")
+                if isinstance(loaded[where], str):
+                    raise js.Invalid("schema_invalid", ["schema"], loaded[where])
                 js.check(value, loaded[where])
             except js.Invalid as bad:
                 rows.append((uri, bad.kind, bad.detail, ref, where, bad.path))
         yield pd.DataFrame(rows, columns=["uri", "type", "detail", "schema", "schema_path", "path"], dtype=object)
 
 
-def schema_findings(graph: Graph, schemas: dict[str, dict | None]) -> DataFrame:
-    """The first violation of each section that names a schema. schemas: documents by resolved path or web address."""
+def schema_findings(graph: Graph, schemas: dict[str, dict | str | None]) -> DataFrame:
+    """The first violation of each section that names a schema. schemas: documents by resolved path or web address; a text tells why one can't be used."""
     named = graph.sections.where("schema_ref is not null")
     local = F.concat(F.regexp_replace("file_path", "/[^/]*$", "/"), F.col("schema_ref"))
     known = {k: None if v is None else json.dumps(v) for k, v in schemas.items()}
@@ -134,7 +136,7 @@ def conformity(graph: Graph, files: DataFrame, root: str, memory_root: str | Non
     return _finding(lost, 5, "unreachable_file", "path", F.lit(f"no links lead here from {first}"))
 
 
-def validate(graph: Graph, schemas: dict[str, dict | None] | None = None, workflows: list[dict] | None = None, history: DataFrame | None = None, files: DataFrame | None = None, root: str | None = None, memory_root: str | None = None, only_file: str | None = None) -> DataFrame:
+def validate(graph: Graph, schemas: dict[str, dict | str | None] | None = None, workflows: list[dict] | None = None, history: DataFrame | None = None, files: DataFrame | None = None, root: str | None = None, memory_root: str | None = None, only_file: str | None = None) -> DataFrame:
     out = parse_errors(graph).union(broken_targets(graph, only_file)).union(cycles(graph)).union(schema_findings(graph, schemas or {}))
     out = out.union(workflow_findings(graph, workflows or [], history))
     if files is not None and root is not None and only_file is None:

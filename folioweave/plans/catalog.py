@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import compose, diff, lookup, markers, metadata, next_id, packages, traverse, validate
 from ..operators.graph import Graph, build, from_parsed, update
 from ..operators.sections import parse
+from ..sources.readers import schema_document
 from .corpus import SCHEMA, WORKFLOWS, corpus_documents, corpus_graph, key_graph, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,6 +195,12 @@ def diff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff(*_snapshots(spark, sf_dir)).where("kind = 'section'").select("kind", "change", "src")
 
 
+@registered("SELECT 'section' AS kind, 'removed' AS change, uri AS src FROM d WHERE i % 10 = 0")
+def diff_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    less, all_ = _snapshots(spark, sf_dir)
+    return diff.diff(all_, less).where("kind = 'section'").select("kind", "change", "src")
+
+
 @registered(f""", old AS (SELECT DISTINCT i, j FROM (SELECT i, (11 * i + 1) % (n.n + 5) AS j FROM d, n UNION ALL SELECT i, j FROM dirs WHERE ord > 0) WHERE i % 10 <> 0),
 new AS (SELECT i, j FROM edges)
 SELECT 'added' AS change, {uri('i')} AS src, {uri('j')} AS dst FROM (FROM new EXCEPT FROM old)
@@ -231,6 +238,25 @@ def schema_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("type", "uri", "schema_path", "path", "detail")
 
 
+@registered("""SELECT CASE i % 4 WHEN 0 THEN 'schema_validation_error' WHEN 1 THEN 'schema_not_found' WHEN 2 THEN 'schema_invalid' ELSE 'schema_unreachable_uri' END AS type, uri
+FROM d WHERE i % 5 = 0 AND (i % 4 > 0 OR i % 7 = 6)""")
+def schema_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sections with a schema one in four is checked; the others name one that is missing, unusable or out of reach."""
+    kind = F.col("doc_id") % 4
+    ref = F.when(kind == 1, "none.json").when(kind == 2, "list.json").when(kind == 3, "https://example.invalid/s.json").otherwise("schema.json")
+    documents = corpus_documents(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\nschema: schema.json\n"), F.concat(F.lit("\nschema: "), ref, F.lit("\n"))))
+    known = {"/corpus/schema.json": SCHEMA, "/corpus/list.json": schema_document("[1, 2]"), "https://example.invalid/s.json": None}
+    return validate.schema_findings(build(documents), known).select("type", "uri")
+
+
+@registered(""", go AS (SELECT CAST(1 AS BIGINT) AS i UNION SELECT edges.j FROM go JOIN edges ON edges.i = go.i, n WHERE edges.j < n.n)
+SELECT 'unreachable_file' AS type, '/corpus/d' || i || '.md' AS uri FROM d WHERE i NOT IN (SELECT i FROM go)""")
+def unreachable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = spark.createDataFrame([("/corpus/CONSTITUTION.md", "# Top\n```yaml\nsection: top\n```\n[@ref: one](d1.md#d1)\n")], "path string, content string")
+    documents = corpus_documents(spark, sf_dir).select("path", "content").union(top)
+    return validate.conformity(build(documents), documents.select("path"), "/corpus").select("type", "uri")
+
+
 @registered(f"""SELECT type, count(*) AS n FROM (SELECT 'broken_' || type AS type FROM dirs, n WHERE j >= n.n
 UNION ALL SELECT 'cycle' FROM d, n WHERE (i % 100 = 98 AND i + 1 < n.n) OR i % 100 = 99
 UNION ALL SELECT 'schema_validation_error' FROM d WHERE i % 5 = 0 AND (i % 7 = 6 OR i % 4 = 3)
@@ -314,6 +340,13 @@ def marker_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(markers.upsert(once, "two", START, END), 256).alias("digest"))
 
 
+@registered(f"SELECT doc_id, sha256(text || chr(10)) AS digest FROM (SELECT doc_id, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM documents WHERE text IS NOT NULL AND length(trim(text)) > 0)", plain=True)
+def marker_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    put = markers.upsert(F.col("text"), "one", START, END, at_top=False)
+    docs = table(spark, sf_dir, "documents").where("text is not null and length(trim(text)) > 0")
+    return docs.select("doc_id", F.sha2(markers.removed(put, START, END), 256).alias("digest"))
+
+
 KEYS = """WITH RECURSIVE e AS (SELECT 'nation#' || n_nationkey AS src, 'region#' || n_regionkey AS dst FROM nation
 UNION SELECT 'customer#' || c_custkey, 'nation#' || c_nationkey FROM customer UNION SELECT 'supplier#' || s_suppkey, 'nation#' || s_nationkey FROM supplier
 UNION SELECT 'orders#' || o_orderkey, 'customer#' || o_custkey FROM orders UNION SELECT 'orders#' || l_orderkey, 'part#' || l_partkey FROM lineitem)

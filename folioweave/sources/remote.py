@@ -24,17 +24,19 @@ def fetch(address: str, cache: Path | None, seconds: float, suffix: str = "") ->
     return data
 
 
-def schemas_of(refs: list[str], root: str, cache: Path | None = None, remote: bool = False) -> dict[str, dict | None]:
-    """Schema documents by resolved path or web address, None where there is none; web addresses only if ``remote``."""
+def schemas_of(refs: list[str], root: str, cache: Path | None = None, remote: bool = False) -> dict[str, dict | str | None]:
+    """Schema documents by resolved path or web address, what is wrong where one can't be read, None where there is none; web addresses only if ``remote``."""
     from .readers import schema_document
 
-    out: dict[str, dict | None] = {}
+    out: dict[str, dict | str | None] = {}
     for ref in refs:
         try:
             if ref.startswith(("http://", "https://")):
                 out[ref] = schema_document(fetch(ref, cache, SCHEMA_SECONDS, ".json").decode()) if remote else None
             else:
                 out[ref] = schema_document(Path(ref).read_text(encoding="utf-8"))
+        except UnicodeDecodeError:
+            out[ref] = "the schema document is no UTF-8"
         except (OSError, ValueError):
             out[ref] = None
     return out

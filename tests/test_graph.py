@@ -1,4 +1,5 @@
 import random
+from datetime import date
 
 import pytest
 
@@ -69,6 +70,7 @@ def test_traversals(wiki):
     rows = [(r["uri"], r["depth"], r["cycle"]) for r in traverse.tree(wiki, u("b")).collect()]
     assert rows == [(u("b"), 0, False), (u("c"), 1, False), (u("b"), 2, True), (u("no"), 1, False)]
     assert traverse.tree(wiki, u("b"), depth=0).count() == 1
+    assert [r["last"] for r in traverse.last_children(traverse.tree(wiki, u("b"))).collect()] == [True, False, True, True]
     files = wiki.sections.select(F.col("file_path").alias("path"))
     assert uris(traverse.reachable_files(wiki, ["/w/b.md"], files), "file_path") == ["/w/b.md", "/w/c.md"]
 
@@ -181,6 +183,10 @@ def test_packages_and_markers(spark):
     assert packages.instantiate(back, {"who": "me"}) == {"me.md": "hi me 1 2\n"}
     with pytest.raises(packages.PackageError):
         packages.unpack(archive, "00")
+    with pytest.raises(packages.PackageError, match="not there: a.md.j2"):
+        packages.pack({"manifest.yaml": files["manifest.yaml"]})
+    dated = {"manifest.yaml": b"name: p\nfiles:\n- {template: d.j2, target: d}\n", "d.j2": b"{{ created_at }}"}
+    assert packages.instantiate(dated, {}, today=date(2024, 5, 1)) == {"d": "2024-05-01\n"} and packages.instantiate(dated, {"created_at": "x"}) == {"d": "x\n"}
     for unsafe in ("../x", "/x"):
         with pytest.raises(packages.PackageError):
             packages.pack({**files, unsafe: b""})
