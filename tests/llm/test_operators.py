@@ -368,6 +368,36 @@ def test_toxicity_thresholds_by_language(spark):
     assert [got[i]["predicted_lang"] for i in range(3)] == [1, 0, 0] and all(r["predicted"] == 0 for r in got.values())
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 12_000, raising=False)  # four shards
+    n = 12_600
+    texts = [f"w{i % 3150} plain" + (" vile" if i % 40 == 0 else "") for i in range(n)]  # each word in MIN_DOCS documents
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(n)], "doc_id long, toxic int")
+    model = toxicity.learn(docs_of(spark, texts), labels, lang_col="lang")
+    column = toxicity.pa.array([f"w{i}" for i in range(3150)])
+    ((_, _, buf, off),) = toxicity.chunks(column)
+    hashes, _ = toxicity.word_hashes(buf, off)
+    assert (model.tags[(hashes >> np.uint64(48)).astype(int)] > 0).all()  # a sample misses some documents of most words
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs_of(spark, ["w1 plain", "w2 plain vile", "w3 plain"]), model).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    known = labels.where("doc_id % 7 = 0").select(F.col("doc_id").alias("id"))
+    kept = {r["id"] for r in toxicity._marked(docs_of(spark, texts).withColumnRenamed("doc_id", "id"), known).collect()}
+    assert set(range(0, n, 7)) <= kept and len(kept) < n / 6
+
+
+def test_toxicity_calibration_counts_every_document():
+    rng = np.random.default_rng(24)
+    z, y = rng.integers(-3000, 3000, 500), rng.integers(0, 2, 500)
+    z = np.where(y == 1, z + 2000, z)
+    tally = Counter(zip(z.tolist(), y.tolist()))
+    counts = [("en", v, tally[v, 0], tally[v, 1]) for v in sorted(set(z.tolist()))]
+    model = toxicity.Model()
+    toxicity.calibrate(model, counts, float(y.mean()))
+    f1 = [2 * (y[z >= v] == 1).sum() / ((z >= v).sum() + y.sum()) for v in z]
+    p = 1 / (1 + np.exp(-(model.scale * z / toxicity.GRID + model.shift)))
+    assert np.isclose(2 * y[p >= toxicity.OPERATING].sum() / ((p >= toxicity.OPERATING).sum() + y.sum()), max(f1))
+
+
 def test_names_that_clash_and_empty_tables(spark):
     rng = np.random.default_rng(19)
     names = ["id", "text_", "score", "lang_pred", "predicted", "mix_tokens", "mix_kept", "m0", "tokens", "place", "keys", "n", "print", "b", "kind", "chunk", "shard", "length", "held", "component_id"]
