@@ -653,6 +653,25 @@ def test_bin_completion_beats_best_fit():
         assert packed_well(sizes, 2048) <= len(packing.best_fit(sizes, 2048))
 
 
+def test_complete_search_of_more_pieces_than_the_limit():
+    gained = 0
+    for seed in range(0, 20, 2):
+        rng = np.random.default_rng(seed)
+        m = 9 + seed % 3
+        a, b = rng.integers(20, 50, m), rng.integers(20, 50, m)
+        sizes = [int(x) for x in np.concatenate((a, b, 100 - a - b))]  # fill m bins
+        bins = packing.complete(sizes, 100, exact=True)
+        assert len(sizes) > packing.EXACT and len(bins) == m
+        assert sorted(i for x in bins for i in x) == list(range(len(sizes))) and all(sum(sizes[i] for i in x) <= 100 for x in bins)
+        gained += m < packed_well(sizes, 100)
+    assert gained
+    for _ in range(50):
+        count = Counter(int(x) for x in rng.integers(3, 30, 9))
+        found = [tuple(sorted(f, reverse=True)) for f in packing.fillings(count, 60)]
+        assert len(set(found)) == len(found) and set(packing.undominated(count, 60)) <= set(found)
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
