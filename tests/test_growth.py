@@ -4,7 +4,8 @@ import tracemalloc
 
 import pyarrow as pa
 
-from folioweave.operators import sections
+from folioweave.operators import sections, traverse
+from folioweave.operators.graph import Graph
 from folioweave.sources.batches import slices
 
 
@@ -44,3 +45,17 @@ def test_slices_hold_all_rows_in_order():
 def test_parsing_holds_a_slice_of_a_batch(spark):
     rows, mb = peak_mb(sections.parse(Caught()).run, pa.RecordBatch.from_pylist(pages(2000, 2000)))  # 20 MB
     assert rows == 2000 and mb < 8
+
+
+def test_hops_send_no_table_to_the_driver(spark, monkeypatch):
+    plans, real = [], traverse.kept
+    monkeypatch.setattr(traverse, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    pairs = [(f"/w/d{i}.md#d{i}", f"/w/d{i + 1}.md#d{i + 1}") for i in range(4)] + [("/w/d4.md#d4", "/w/d3.md#d3")]
+    directives = spark.createDataFrame([(a, "/w", 0, "include", b, None) for a, b in pairs], "src_uri string, file_path string, ord int, type string, target_uri string, label string")
+    nodes = spark.createDataFrame([(a,) for a, _ in pairs], "uri string").distinct()
+    graph = Graph(nodes, directives, None)
+    assert traverse.impact(graph, "/w/d4.md#d4").count() == 4
+    assert traverse.nodes_on_cycles(graph.edges.select("src", "dst")).count() == 2
+    assert traverse.explain(graph, "/w/d0.md#d0", "/w/d2.md#d2").count() == 3
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 10 and not any("Broadcast" in p for p in joins)
