@@ -4,8 +4,8 @@ import tracemalloc
 
 import pyarrow as pa
 
-from folioweave.operators import sections, traverse
-from folioweave.operators.graph import Graph
+from folioweave.operators import compose, sections, traverse
+from folioweave.operators.graph import Graph, build
 from folioweave.sources.batches import slices
 
 
@@ -15,7 +15,7 @@ class Caught:
     def select(self, *columns):
         return self
 
-    join = select
+    join = where = withColumn = select
 
     def mapInArrow(self, run, shape):  # noqa: N802
         self.run = run
@@ -59,3 +59,12 @@ def test_hops_send_no_table_to_the_driver(spark, monkeypatch):
     assert traverse.explain(graph, "/w/d0.md#d0", "/w/d2.md#d2").count() == 3
     joins = [p for p in plans if "Join" in p]
     assert len(joins) > 10 and not any("Broadcast" in p for p in joins)
+
+
+def test_composition_sends_no_text_to_the_driver(spark):
+    text = "# A\r\n\r\n```yaml\r\nsection: a\r\n```\r\n\r\none\rtwo\n[@include: b](b.md#b)\n\nlast\r\n"
+    graph = build(spark.createDataFrame([("/w/a.md", text), ("/w/b.md", "# B\n\n```yaml\nsection: b\n```\n")], "path string, content string"))
+    composed, _ = compose.compose(graph)
+    assert "Broadcast" not in composed._jdf.queryExecution().executedPlan().toString()
+    want = "# A\n\n```yaml\nsection: a\n```\n\none\ntwo\n## B\n\n```yaml\nsection: b\n```\n\nlast"
+    assert {r["root"]: r["content"] for r in composed.collect()}["/w/a.md#a"] == want
