@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as js
 from ..functions.values import resolve
+from ..sources.batches import mapped
 from .graph import Graph
 from .predicates import java_regex
 from .traverse import include_cycles, reachable_files
@@ -43,41 +42,32 @@ def cycles(graph: Graph) -> DataFrame:
     return _finding(include_cycles(graph), 2, "cycle", "uri", F.lit("the section is on a cycle of includes"))
 
 
-def _check_batches(schemas: dict[str, str | None], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    loaded = {k: json.loads(v) if v is not None else None for k, v in schemas.items()}
-    for batch in batches:
-        rows = []
-        for uri, meta, ref, where in zip(batch["uri"], batch["meta_json"], batch["schema_ref"], batch["schema_path"]):
-            value = json.loads(meta)
-            try:
-                if not isinstance(value.get("schema"), str):
-                    raise js.Invalid("schema_validation_error", ["schema"], "the schema reference must be a string")
-                if loaded.get(where) is None:
-                    raise js.Invalid("schema_unreachable_uri" if re.match("https?://", where) else "schema_not_found", ["schema"], f"no schema at {where}")
-                if isinstance(loaded[where], str):
-                    raise js.Invalid("schema_invalid", ["schema"], loaded[where])
-                js.check(value, loaded[where])
-            except js.Invalid as bad:
-                rows.append((uri, bad.kind, bad.detail, ref, where, bad.path))
-        yield pd.DataFrame(rows, columns=["uri", "type", "detail", "schema", "schema_path", "path"], dtype=object)
+def _checked(loaded: dict[str, dict | str | None], rows: list[dict]) -> list[dict]:
+    out = []
+    for row in rows:
+        value, where = json.loads(row["meta_json"]), row["schema_path"]
+        where = where if "://" in where else resolve(where, "/")
+        try:
+            if not isinstance(value.get("schema"), str):
+                raise js.Invalid("schema_validation_error", ["schema"], "the schema reference must be a string")
+            if loaded.get(where) is None:
+                raise js.Invalid("schema_unreachable_uri" if re.match("https?://", where) else "schema_not_found", ["schema"], f"no schema at {where}")
+            if isinstance(loaded[where], str):
+                raise js.Invalid("schema_invalid", ["schema"], loaded[where])
+            js.check(value, loaded[where])
+        except js.Invalid as bad:
+            out.append({"uri": row["uri"], "type": bad.kind, "detail": bad.detail, "schema": row["schema_ref"], "schema_path": where, "path": bad.path})
+    return out
 
 
 def schema_findings(graph: Graph, schemas: dict[str, dict | str | None]) -> DataFrame:
     """The first violation of each section that names a schema. schemas: documents by resolved path or web address; a text tells why one can't be used."""
     named = graph.sections.where("schema_ref is not null")
     local = F.concat(F.regexp_replace("file_path", "/[^/]*$", "/"), F.col("schema_ref"))
-    known = {k: None if v is None else json.dumps(v) for k, v in schemas.items()}
+    known = json.loads(json.dumps(schemas))
     refs = named.select("uri", "meta_json", "schema_ref", "file_path").withColumn("schema_path", F.when(F.col("schema_ref").rlike("^(https?:/)?/"), F.col("schema_ref")).otherwise(local))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def tidy():
-            for b in batches:
-                b["schema_path"] = [p if "://" in p else resolve(p, "/") for p in b["schema_path"]]
-                yield b
-
-        return _check_batches(known, tidy())
-
-    found = refs.mapInPandas(run, "uri string, type string, detail string, schema string, schema_path string, path string")
+    found = mapped(refs, lambda rows: _checked(known, rows), "uri string, type string, detail string, schema string, schema_path string, path string")
     return _finding(found, 3, F.col("type"), "uri", F.col("detail"), schema=F.col("schema"), schema_path=F.col("schema_path"), path=F.col("path"))
 
 

@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from folioweave.operators import compose, sections, traverse
+from folioweave.operators import compose, sections, traverse, validate
 from folioweave.operators.graph import Graph, build
 from folioweave.sources.batches import slices
 
@@ -68,3 +68,11 @@ def test_composition_sends_no_text_to_the_driver(spark):
     assert "Broadcast" not in composed._jdf.queryExecution().executedPlan().toString()
     want = "# A\n\n```yaml\nsection: a\n```\n\none\ntwo\n## B\n\n```yaml\nsection: b\n```\n\nlast"
     assert {r["root"]: r["content"] for r in composed.collect()}["/w/a.md#a"] == want
+
+
+def test_schema_checks_hold_a_slice_of_a_batch(spark):
+    meta, caught = '{"schema": "s.json", "x": "' + "word " * 2000 + '"}', Caught()
+    validate.schema_findings(Graph(caught, None, None), {"/w/s.json": {"required": ["y"]}})
+    rows = [{"uri": f"/w/d{i}.md#d{i}", "meta_json": meta, "schema_ref": "s.json", "schema_path": "/w/./s.json"} for i in range(2000)]
+    n, mb = peak_mb(caught.run, pa.RecordBatch.from_pylist(rows))
+    assert n == 2000 and mb < 8
