@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from folioweave.operators import compose, sections, traverse, validate
+from folioweave.operators import compose, metadata, sections, traverse, validate
 from folioweave.operators.graph import Graph, build
 from folioweave.sources.batches import slices
 
@@ -76,3 +76,10 @@ def test_schema_checks_hold_a_slice_of_a_batch(spark):
     rows = [{"uri": f"/w/d{i}.md#d{i}", "meta_json": meta, "schema_ref": "s.json", "schema_path": "/w/./s.json"} for i in range(2000)]
     n, mb = peak_mb(caught.run, pa.RecordBatch.from_pylist(rows))
     assert n == 2000 and mb < 8
+
+
+def test_edits_hold_a_slice_of_a_batch(spark):
+    edits = spark.createDataFrame([("/w/d1.md", "d1", "a", "1")], "path string, id string, key string, value_json string")
+    rows = [{**p, "edits": [{"id": p["path"][3:-3], "key": "a", "value_json": "1"}]} for p in pages(2000, 2000)]
+    n, mb = peak_mb(metadata.edit(Caught(), edits).run, pa.RecordBatch.from_pylist(rows))
+    assert n == 2000 and mb < 8
